@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import near_duplicates
+from . import byte_pairs, near_duplicates, visual_forms
 
-MODULES = [near_duplicates]
+MODULES = [near_duplicates, visual_forms, byte_pairs]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
