@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, leaks, near_duplicates, reading_level, splitting, token_counts, visual_forms
+from . import byte_pairs, leaks, near_duplicates, reading_level, similar_vectors, splitting, token_counts, visual_forms
 
-MODULES = [near_duplicates, splitting, token_counts, visual_forms, byte_pairs, leaks, reading_level]
+MODULES = [near_duplicates, splitting, token_counts, similar_vectors, visual_forms, byte_pairs, leaks, reading_level]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
