@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import documents, records, service
+
+QUERIES = documents.QUERIES | records.QUERIES | service.QUERIES
+SQL = documents.SQL | records.SQL | service.SQL
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return records.bm25_topk(spark, sf_dir)
