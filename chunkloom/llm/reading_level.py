@@ -56,7 +56,7 @@ def prose(text: str | None) -> list[str]:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n\n", text)
-    text = _LINK.sub(" ", _DROPPED_LINE.sub("\n", text))
+    text = _LINK.sub(r"\1", _DROPPED_LINE.sub("\n", text))
     text = _WRAP.sub(" ", _ITEM.sub("\n\n", text).replace("\n\n", "\v")).replace("\v", "\n\n")
     return [s for s in map(str.strip, _END.split(text)) if s]
 
