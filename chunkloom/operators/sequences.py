@@ -85,3 +85,42 @@ def maximal_spans(spans: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("id").orderBy("start", F.desc("stop"), "tie").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reach", F.max("stop").over(w)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach"))).drop("reach")
+
+
+def line_segments(texts: DataFrame) -> DataFrame:
+    """(doc_id, segment, kind, first, lines): runs of lines of one kind: code, table, heading, image, blank or text.
+
+    A fence line belongs to its code.  Gaps and islands: a new segment begins
+    where the kind differs from that of the line before.
+    """
+    lines = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("n", "line"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    fence = F.col("line").rlike("^[ \t]*```")
+    lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = (
+        F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code")
+        .when(F.col("line").rlike("^[ \t]*[|]"), "table")
+        .when(F.col("line").rlike("^#{1,6} "), "heading")
+        .when(F.col("line").rlike(r"^!\[[^\]]*\]\([^)]*\)"), "image")
+        .when(F.trim("line") == "", "blank")
+        .otherwise("text")
+    )
+    marked = lines.withColumn("kind", kind).withColumn("new", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1)))
+    return marked.withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "segment", "kind").agg((F.min("n") + 1).alias("first"), F.count("*").alias("lines"))
+
+
+def clear_spans(spans: DataFrame) -> DataFrame:
+    """Spans that overlap no other of their id: of two that clash both are left out. Half-open: touching is no clash."""
+    before = Window.partitionBy("id").orderBy("start", "stop", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("id").orderBy("start", "stop", "tie").rowsBetween(1, 1)
+    seen = spans.withColumn("reach", F.max("stop").over(before)).withColumn("next", F.min("start").over(after))
+    return seen.filter((F.col("reach").isNull() | (F.col("reach") <= F.col("start"))) & (F.col("next").isNull() | (F.col("next") >= F.col("stop")))).drop("reach", "next")
+
+
+def greedy_spans(spans: DataFrame) -> DataFrame:
+    """Of each id, in order of tie, each span that overlaps no span taken before: earlier ones win. A fold over the spans of one id."""
+    items = F.array_sort(F.collect_list(F.struct("tie", "start", "stop")))
+    none = F.expr("cast(array() as array<struct<tie:bigint,start:int,stop:int>>)")
+    clash = lambda kept, x: F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
+    kept = F.aggregate("items", none, lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.array_append(kept, x)))
+    return spans.groupBy("id").agg(items.alias("items")).select("id", F.explode(kept).alias("x")).select("id", "x.start", "x.stop", "x.tie")

@@ -159,3 +159,68 @@ def topk_per_source(spark, sf_dir):
     """The ten longest texts of each source: a top-k report with stable ties."""
     w = Window.partitionBy("source").orderBy(F.desc(F.length("text")), "doc_id")
     return _documents(spark, sf_dir).filter("text IS NOT NULL").select("source", "doc_id", F.row_number().over(w).alias("rank")).filter("rank <= 10")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(0, len(s))) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS s FROM documents)),
+f AS (SELECT *, regexp_matches(line, '^[ \t]*```') AS fence, sum(regexp_matches(line, '^[ \t]*```')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM l),
+k AS (SELECT doc_id, n, CASE WHEN fence OR fences % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^[ \t]*[|]') THEN 'table' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^!\[[^\]]*\]\([^)]*\)') THEN 'image' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind FROM f),
+i AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY n) THEN 0 ELSE 1 END AS new FROM k), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS segment FROM i)
+SELECT doc_id, segment, kind, min(n) + 1 AS first, count(*) AS lines FROM g GROUP BY 1, 2, 3""")
+def md_segments(spark, sf_dir):
+    """Every text as runs of code, tables, headings, images, blanks and prose."""
+    return sequences.line_segments(_documents(spark, sf_dir))
+
+
+_KINDS = [
+    ("code", "^```|^[0-9]+[.] .*(\n[0-9]+[.] .*)*$"),
+    ("heading", "^(#.*)(\n#.*)*$"),
+    ("caption", "^(Fig(ure)?[.]? [0-9]+|TABLE [IVX0-9]+|Table [0-9]+|图[0-9]+|表[0-9]+)[.:：]"),
+    ("table", "^[|].*"),
+    ("capitals", "^[A-Z][A-Z0-9 ,.'-]{7,79}$"),
+    ("fragment", "^[a-z]"),
+]
+
+
+@query("SELECT doc_id, kind, count(*) AS paragraphs, sum(length(paragraph)) AS chars FROM (SELECT doc_id, paragraph, CASE " + " ".join(f"WHEN regexp_matches(paragraph, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in _KINDS) + f" ELSE 'prose' END AS kind FROM ({_PARAS})) GROUP BY 1, 2")
+def para_kinds(spark, sf_dir):
+    """What the paragraphs of each text are: code, heading, caption, table, capitals, fragment or prose."""
+    kind = F.lit("prose")
+    for name, pattern in reversed(_KINDS):
+        kind = F.when(F.col("paragraph").rlike(pattern), name).otherwise(kind)
+    parts = sequences.exploded_paragraphs(_documents(spark, sf_dir))
+    return parts.groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).alias("chars"))
+
+
+@query("""SELECT question_id, array_to_string(list_transform(regexp_extract_all(original_query, '第 ?[0-9]+'), lambda m: regexp_extract(m, '[0-9]+')), ',') AS ordinals FROM questions WHERE regexp_matches(original_query, '第 ?[0-9]+')""")
+def ordinals(spark, sf_dir):
+    """Ordinal numbers named in questions."""
+    found = F.regexp_extract_all(F.col("original_query"), F.lit("第 ?([0-9]+)"), F.lit(1))
+    return table(spark, sf_dir, "questions").filter("original_query RLIKE '第 ?[0-9]+'").select("question_id", F.array_join(found, ",").alias("ordinals"))
+
+
+@query("""WITH t AS (SELECT question_id, list_distinct(list_filter([CASE WHEN regexp_matches(lower(original_query), 'figure|图|abbildung|schéma|figura') THEN 'figure' END, CASE WHEN regexp_matches(lower(original_query), 'table|表|tabelle|tableau|tabla') THEN 'table' END], lambda x: x IS NOT NULL)) AS types FROM questions WHERE original_query IS NOT NULL)
+SELECT question_id, CASE WHEN len(types) = 0 THEN 'text' WHEN len(types) = 1 THEN types[1] ELSE 'mixed' END AS intent FROM t""")
+def intent_recompute(spark, sf_dir):
+    """What kind of evidence a question asks for: its only type, or mixed."""
+    q = F.lower("original_query")
+    types = F.array_compact(F.array(F.when(q.rlike("figure|图|abbildung|schéma|figura"), "figure"), F.when(q.rlike("table|表|tabelle|tableau|tabla"), "table")))
+    intent = F.when(F.size(types) == 0, "text").when(F.size(types) == 1, F.get(types, F.lit(0))).otherwise("mixed")
+    return table(spark, sf_dir, "questions").filter("original_query IS NOT NULL").select("question_id", intent.alias("intent"))
+
+
+@query("""WITH q AS (SELECT question_id, list_distinct(regexp_extract_all(original_query, '[0-9]+|[A-Z][a-z]+')) AS atoms FROM questions WHERE original_query IS NOT NULL), j AS (SELECT job_id, question_id, list_distinct(regexp_extract_all(query, '[0-9]+|[A-Z][a-z]+')) AS atoms FROM (SELECT DISTINCT job_id, question_id, query FROM jobs WHERE query IS NOT NULL))
+SELECT j.job_id, len(q.atoms) AS atoms, len(list_filter(q.atoms, lambda x: NOT list_contains(j.atoms, x))) AS missing FROM j JOIN q USING (question_id)""")
+def atoms_retained(spark, sf_dir):
+    """Names and numbers of each question that its job's query lost."""
+    atoms = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[0-9]+|[A-Z][a-z]+"), F.lit(0)))
+    q = table(spark, sf_dir, "questions").filter("original_query IS NOT NULL").select("question_id", atoms("original_query").alias("a"))
+    j = table(spark, sf_dir, "jobs").filter("query IS NOT NULL").select("job_id", "question_id", "query").distinct().select("job_id", "question_id", atoms("query").alias("b"))
+    return j.join(q, "question_id").select("job_id", F.size("a").alias("atoms"), F.size(F.array_except("a", "b")).alias("missing"))
+
+
+@query("""SELECT domain, source, count(*) AS rows, count(*) FILTER (collected_at - published_at > INTERVAL 7 DAY) AS late, max(epoch_us(collected_at) - epoch_us(published_at)) AS longest_us FROM documents WHERE published_at IS NOT NULL AND collected_at IS NOT NULL GROUP BY 1, 2""")
+def late_rows(spark, sf_dir):
+    """How late texts were collected, by domain and source."""
+    lag = F.unix_micros("collected_at") - F.unix_micros("published_at")
+    rows = _documents(spark, sf_dir).filter("published_at IS NOT NULL AND collected_at IS NOT NULL")
+    return rows.groupBy("domain", "source").agg(F.count("*").alias("rows"), F.count(F.when(lag > 7 * 86_400_000_000, 1)).alias("late"), F.max(lag).alias("longest_us"))

@@ -385,3 +385,82 @@ def corpus_counts(spark, sf_dir):
     """What each document consists of."""
     blank = F.col("text").isNull() | (F.trim("text") == "")
     return _records(spark, sf_dir).groupBy("document_id", "kind").agg(F.count("*").alias("records"), F.countDistinct("chunk_id").alias("chunks"), F.count(F.when(blank, 1)).alias("blank"), F.count("label").alias("labelled"))
+
+
+@query("""WITH s AS (SELECT DISTINCT question_id AS id, epoch_us(created_at) AS start, epoch_us(finished_at) AS stop, job_id AS tie FROM jobs WHERE finished_at > created_at AND question_id IS NOT NULL)
+SELECT id, start, stop, tie FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id = a.id AND b.tie <> a.tie AND b.start < a.stop AND a.start < b.stop)""")
+def span_clear(spark, sf_dir):
+    """Running times of jobs that clash with no other job of their question."""
+    rows = table(spark, sf_dir, "jobs").filter("finished_at > created_at AND question_id IS NOT NULL")
+    return sequences.clear_spans(rows.select(F.col("question_id").alias("id"), F.unix_micros("created_at").alias("start"), F.unix_micros("finished_at").alias("stop"), F.col("job_id").alias("tie")).distinct())
+
+
+@query()
+def span_greedy(spark, sf_dir):
+    """A subset of spans without overlap, the earlier record first."""
+    return sequences.greedy_spans(_spans(spark, sf_dir))
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_BM25_SQL}) WHERE rank <= 10), h AS (SELECT query_id, channel, rank, chunk_id FROM b JOIN (SELECT ord AS id, chunk_id FROM records) USING (id)),
+f AS (SELECT query_id, chunk_id, min(rank * 2 + (channel = 'visual')::INT) AS seen, count(*) AS hits FROM h GROUP BY 1, 2) SELECT query_id, chunk_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY seen, chunk_id) AS first_seen FROM f""")
+def rerank_input(spark, sf_dir):
+    """Candidates of each search from all channels, each chunk once, in the order first seen."""
+    return _candidates(spark, sf_dir)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=10)
+    hits = best.join(_records(spark, sf_dir).select(F.col("ord").alias("id"), "chunk_id"), "id")
+    seen = hits.groupBy("query_id", "chunk_id").agg(F.min(F.col("rank") * 2 + (F.col("channel") == "visual").cast("int")).alias("seen"), F.count("*").alias("hits"))
+    return seen.withColumn("first_seen", F.row_number().over(Window.partitionBy("query_id").orderBy("seen", "chunk_id"))).drop("seen")
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_BM25_SQL}) WHERE rank <= 10), h AS (SELECT query_id, channel, rank, chunk_id FROM b JOIN (SELECT ord AS id, chunk_id FROM records) USING (id)),
+f AS (SELECT query_id, chunk_id, min(rank * 2 + (channel = 'visual')::INT) AS seen FROM h GROUP BY 1, 2), o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seen, chunk_id) AS first_seen FROM f),
+t AS (SELECT chunk_id, arg_min({BODY_SQL}, ord) AS body FROM records GROUP BY 1), s AS (SELECT query_id, chunk_id, first_seen, len(list_filter(list_distinct({TOKENS_SQL.format('query')}), lambda x: list_contains({TOKENS_SQL.format('body')}, x))) AS score FROM o JOIN ({_SEARCH}) USING (query_id) JOIN t USING (chunk_id))
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM s""")
+def rerank_order(spark, sf_dir):
+    """Candidates reordered by a pair score (shared tokens stand in for a model), ties as first seen."""
+    body = T.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_text"))
+    candidates = _candidates(spark, sf_dir)
+    wanted = candidates.select("chunk_id").distinct()
+    texts = _records(spark, sf_dir).join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(body, "ord").alias("body"))
+    pairs = candidates.join(_search_queries(spark, sf_dir).select("query_id", "query"), "query_id").join(texts, "chunk_id")
+    scored = pairs.select("query_id", "chunk_id", "first_seen", F.size(F.array_intersect(T.tokens(F.col("query")), T.tokens(F.col("body")))).alias("score"))
+    return scored.select("query_id", "chunk_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first_seen")).alias("rank"))
+
+
+@query(r"""SELECT ord, regexp_extract(text, '^(?:Fig(?:ure)?[.]?|Tab(?:le)?[.]?|TABLE|图|表) ?([0-9IVX]+)', 1) AS number, regexp_matches(text, '^(?:Fig(?:ure)?[.]?|Tab(?:le)?[.]?|TABLE|图|表) ?[0-9IVX]+ ?[.:：]') AS separated,
+length(regexp_replace(text, '^(?:Fig(?:ure)?[.]?|Tab(?:le)?[.]?|TABLE|图|表) ?[0-9IVX]+ ?[.:：]? ?', '')) AS title_chars, regexp_matches(text, '[0-9]+[.][0-9]+') AS has_data, strpos(coalesce(retrieval_text, ''), chr(10) || 'SOURCE:' || chr(10)) AS source_at FROM records WHERE kind <> 'text' AND text IS NOT NULL""")
+def caption_analysis(spark, sf_dir):
+    """Captions of visuals taken apart: number, separator, length of the title, data inside; and where the source block of the retrieval text begins."""
+    head = "^(?:Fig(?:ure)?[.]?|Tab(?:le)?[.]?|TABLE|图|表) ?[0-9IVX]+"
+    rows = _records(spark, sf_dir).filter("kind <> 'text' AND text IS NOT NULL")
+    return rows.select(
+        "ord",
+        F.regexp_extract("text", "^(?:Fig(?:ure)?[.]?|Tab(?:le)?[.]?|TABLE|图|表) ?([0-9IVX]+)", 1).alias("number"),
+        F.col("text").rlike(head + " ?[.:：]").alias("separated"),
+        F.length(F.regexp_replace("text", head + " ?[.:：]? ?", "")).alias("title_chars"),
+        F.col("text").rlike("[0-9]+[.][0-9]+").alias("has_data"),
+        F.instr(F.coalesce("retrieval_text", F.lit("")), "\nSOURCE:\n").alias("source_at"),
+    )
+
+
+@query("""SELECT chunk_id, count(*) AS deliveries, count(DISTINCT coalesce(document_title, '')) AS titles, count(DISTINCT coalesce(lang, '')) AS langs, count(DISTINCT sha256(coalesce(text, ''))) AS texts, arg_max(ord, (loaded_at, ord)) AS last FROM records GROUP BY 1 HAVING count(*) > 1""")
+def delivery_changes(spark, sf_dir):
+    """What changed between the deliveries of a chunk."""
+    distinct = lambda c: F.countDistinct(F.coalesce(c, F.lit("")))
+    g = _records(spark, sf_dir).select("chunk_id", "document_title", "lang", "loaded_at", "ord", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")).groupBy("chunk_id")
+    return g.agg(F.count("*").alias("deliveries"), distinct("document_title").alias("titles"), distinct("lang").alias("langs"), F.countDistinct("t").alias("texts"), F.max_by("ord", F.struct("loaded_at", "ord")).alias("last")).filter("deliveries > 1")
+
+
+@query("""WITH e AS (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM e GROUP BY 1, 2), v AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT vec_id, label, sum(x * c) / sqrt(sum(x * x) * sum(c * c)) AS cos FROM v JOIN c USING (label, i) GROUP BY 1, 2) SELECT label, count(*) AS vectors, round(min(cos), 5) AS least, round(avg(cos), 5) AS mean, count(*) FILTER (cos < 0.1) AS far FROM s GROUP BY 1""")
+def vec_compare_cosine(spark, sf_dir):
+    """Each vector against the centre of its label: least and mean cosine, and how many are far off."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    centre = e.groupBy("label", "i").agg(F.avg("x").alias("c")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("c"))  # as many as the vector is long
+    centre = centre.select("label", F.transform("c", lambda x: x["c"]).alias("c"))
+    v = table(spark, sf_dir, "embeddings").join(centre, "label")
+    cos = vectors.dot(F.col("embedding"), F.col("c")) / F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")) * vectors.dot(F.col("c"), F.col("c")))
+    return v.select("label", cos.alias("cos")).groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.min("cos"), 5).alias("least"), F.round(F.avg("cos"), 5).alias("mean"), F.count(F.when(F.col("cos") < 0.1, 1)).alias("far"))

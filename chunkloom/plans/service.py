@@ -126,3 +126,17 @@ def stream_hourly(spark, sf_dir):
 def hourly_load(spark, sf_dir):
     """The same load over the whole table at once."""
     return _jobs(spark, sf_dir).filter("created_at IS NOT NULL").groupBy(F.window("created_at", "1 hour").alias("w"), "status").agg(F.count("*").alias("jobs")).select(F.unix_seconds("w.start").alias("hour"), "status", "jobs")
+
+
+@query("""SELECT status, job_id, row_number() OVER (PARTITION BY status ORDER BY created_at DESC, job_id, received_at) AS rank FROM jobs WHERE created_at IS NOT NULL QUALIFY rank <= 10""")
+def queue_history(spark, sf_dir):
+    """The ten latest jobs of each status: a top-k report."""
+    w = Window.partitionBy("status").orderBy(F.desc("created_at"), "job_id", "received_at")
+    return _jobs(spark, sf_dir).filter("created_at IS NOT NULL").select("status", "job_id", F.row_number().over(w).alias("rank")).filter("rank <= 10")
+
+
+@query("""SELECT DISTINCT job_id, question_id FROM jobs j WHERE finished_at IS NULL AND NOT EXISTS (SELECT 1 FROM jobs d WHERE d.question_id = j.question_id AND d.status = 'answered')""")
+def queue_resume(spark, sf_dir):
+    """Open jobs whose question no other job has answered: an anti-join on the answered ones."""
+    done = _jobs(spark, sf_dir).filter("status = 'answered' AND question_id IS NOT NULL").select("question_id").distinct()
+    return _jobs(spark, sf_dir).filter("finished_at IS NULL").join(done, "question_id", "left_anti").select("job_id", "question_id").distinct()

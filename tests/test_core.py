@@ -171,3 +171,15 @@ def test_core_does_not_import_the_text_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", p.read_text()), p
+
+
+def test_clear_and_greedy_spans(spark):
+    rows = spark.createDataFrame([("a", 0, 4, 1), ("a", 3, 6, 2), ("a", 6, 8, 3), ("a", 7, 9, 4), ("a", 9, 10, 5), ("b", 0, 9, 6), ("b", 1, 2, 7), ("b", 9, 10, 8)], "id string, start int, stop int, tie long")
+    assert sorted(r.tie for r in sequences.clear_spans(rows).collect()) == [5, 8]
+    assert sorted(r.tie for r in sequences.greedy_spans(rows).collect()) == [1, 3, 5, 6, 8]
+
+
+def test_line_segments(spark):
+    text = "# Head\r\n\nprose\nmore\n```py\n# code\n```\n| a |\n![x](y.png)"
+    got = [(r.kind, r["first"], r.lines) for r in sequences.line_segments(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id", "segment").collect()]
+    assert got == [("heading", 1, 1), ("blank", 2, 1), ("text", 3, 2), ("code", 5, 3), ("table", 8, 1), ("image", 9, 1), ("blank", 1, 1)]
