@@ -65,3 +65,21 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key that comes last by order."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def contained(texts: DataFrame, least: int = 20) -> DataFrame:
+    """(inner, outer): texts all of whose lines of at least ``least`` characters stand in another text, by the first document of each.
+
+    Copies are one text.  A text that contains another holds its rarest line, so
+    only these lines are joined; the other lines are then counted for the pairs found.
+    """
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least))
+    sets = texts.filter("text is not null").select("doc_id", F.array_sort(F.transform(lines, lambda x: F.sha2(x, 256))).alias("set")).filter(F.size("set") > 0)
+    first = sets.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    each = first.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("line"))
+    spread = each.groupBy("line").agg(F.count("*").alias("texts"))
+    rarest = each.join(spread, "line").groupBy("doc_id", "n").agg(F.min(F.struct("texts", "line")).alias("r")).filter("r.texts > 1").select(F.col("doc_id").alias("inner"), "n", F.col("r.line").alias("line"))
+    pairs = rarest.join(each.select(F.col("doc_id").alias("outer"), F.col("n").alias("m"), "line"), "line").filter("inner <> outer AND n < m").select("inner", "outer", "n")
+    mine = pairs.join(each.select(F.col("doc_id").alias("inner"), "line"), "inner")
+    hits = mine.join(each.select(F.col("doc_id").alias("outer"), "line"), ["outer", "line"]).groupBy("inner", "outer", "n").agg(F.count("*").alias("hits"))
+    return hits.filter("hits = n").select("inner", "outer")

@@ -224,3 +224,11 @@ def late_rows(spark, sf_dir):
     lag = F.unix_micros("collected_at") - F.unix_micros("published_at")
     rows = _documents(spark, sf_dir).filter("published_at IS NOT NULL AND collected_at IS NOT NULL")
     return rows.groupBy("domain", "source").agg(F.count("*").alias("rows"), F.count(F.when(lag > 7 * 86_400_000_000, 1)).alias("late"), F.max(lag).alias("longest_us"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_sort(list_transform(list_distinct(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: length(x) >= 20)), lambda x: sha256(x))) AS s FROM documents WHERE text IS NOT NULL),
+f AS (SELECT s, min(doc_id) AS doc_id FROM l WHERE len(s) > 0 GROUP BY 1), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS line FROM f)
+SELECT a.doc_id AS "inner", b.doc_id AS "outer" FROM e a JOIN e b ON a.line = b.line AND a.n < b.n GROUP BY a.doc_id, b.doc_id, a.n HAVING count(*) = a.n""")
+def overlap_containment(spark, sf_dir):
+    """Texts whose lines all stand in one larger text."""
+    return context.contained(_documents(spark, sf_dir).select("doc_id", "text"))

@@ -464,3 +464,21 @@ def vec_compare_cosine(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").join(centre, "label")
     cos = vectors.dot(F.col("embedding"), F.col("c")) / F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")) * vectors.dot(F.col("c"), F.col("c")))
     return v.select("label", cos.alias("cos")).groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.min("cos"), 5).alias("least"), F.round(F.avg("cos"), 5).alias("mean"), F.count(F.when(F.col("cos") < 0.1, 1)).alias("far"))
+
+
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings v USING (label)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS candidates FROM b) SELECT query_id, 'ok' AS status, candidates, rank, id, score FROM t WHERE rank <= 10""")
+def vec_topk_by_label(spark, sf_dir):
+    """The ten most similar vectors with the label of each hundredth vector."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return vectors.top_in_scope(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "id"), "label", k=10)
+
+
+@query(f"""WITH ch AS ({CHANNEL_SQL}), w AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS phrase FROM (SELECT query_id, {TOKENS_SQL.format('query')} AS t FROM ({_SEARCH})) WHERE len(t) >= 2),
+p AS (SELECT id, ' ' || array_to_string(t, ' ') || ' ' AS padded FROM ch) SELECT query_id, phrase, id, ((length(padded) - length(replace(padded, ' ' || phrase || ' ', ''))) // (length(phrase) + 2))::INT AS tf FROM w JOIN p ON contains(padded, ' ' || phrase || ' ')""")
+def ngram_tf(spark, sf_dir):
+    """How often each two neighbouring words of a search stand together in a record, counted without overlap; records are found by an equi-join on pairs of words."""
+    t = T.tokens(F.col("query"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))
+    wanted = _search_queries(spark, sf_dir).select("query_id", t.alias("t")).filter(F.size("t") >= 2).select("query_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
+    return lexical.phrase_frequency(lexical.channels(_records(spark, sf_dir)), wanted)

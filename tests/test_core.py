@@ -183,3 +183,16 @@ def test_line_segments(spark):
     text = "# Head\r\n\nprose\nmore\n```py\n# code\n```\n| a |\n![x](y.png)"
     got = [(r.kind, r["first"], r.lines) for r in sequences.line_segments(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id", "segment").collect()]
     assert got == [("heading", 1, 1), ("blank", 2, 1), ("text", 3, 2), ("code", 5, 3), ("table", 8, 1), ("image", 9, 1), ("blank", 1, 1)]
+
+
+def test_containment_by_the_rarest_line(spark):
+    a, b, c = (ch * 25 for ch in "abc")
+    rows = [(1, f"{a}\n{b}"), (2, a), (3, f"{a}\r\n{b}\n{c}\nshort"), (4, b), (5, f"{a}\n{b}"), (6, None), (7, "short"), (8, c)]
+    got = {(r.inner, r.outer) for r in context.contained(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 3), (2, 1), (2, 3), (4, 1), (4, 3), (8, 3)}
+
+
+def test_phrases_are_counted_without_overlap(spark):
+    texts = spark.createDataFrame([("body", 1, "d", "x x x x"), ("body", 2, "d", "x y"), ("body", 3, "d", "")], "channel string, id long, document_id string, body string")
+    wanted = spark.createDataFrame([(1, "x x"), (1, "y x")], "query_id long, phrase string")
+    assert [(r.phrase, r.id, r.tf) for r in lexical.phrase_frequency(texts, wanted).collect()] == [("x x", 1, 1)]
