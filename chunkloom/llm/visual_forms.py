@@ -45,6 +45,8 @@ RADICALS = (
 )
 #: Characters without category Cf that show nothing.
 HIDDEN = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
+#: A noncharacter: never assigned to text.
+BETWEEN = "\uffff"
 SAME_LOOK_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
@@ -78,23 +80,29 @@ def _tables() -> tuple[dict[int, str | None], dict[int, str]]:
     return first, shapes
 
 
-def visual_form(text: str | None, *, fold: bool = False) -> str | None:
-    """The form of a text; None for None and for a text that shows nothing.
+def visual_forms(texts: list[str | None], *, fold: bool = False) -> list[str | None]:
+    """The form of each text; None for None and for a text that shows nothing.
 
+    All texts pass the tables and normalisations together, as one string with a
+    noncharacter between them; that character itself shows nothing.
     fold: full case folding as well.
     """
-    if text is None:
-        return None
     first, shapes = _tables()
-    out = unicodedata.normalize("NFD", text.translate(first)).translate(shapes)
+    joined = BETWEEN.join((t or "").replace(BETWEEN, "") for t in texts)
+    out = unicodedata.normalize("NFD", joined.translate(first)).translate(shapes)
     if fold:
         out = unicodedata.normalize("NFD", out.casefold())
-    return " ".join(unicodedata.normalize("NFC", out).split()) or None
+    return [" ".join(x.split()) or None for x in unicodedata.normalize("NFC", out).split(BETWEEN)]
+
+
+def visual_form(text: str | None, *, fold: bool = False) -> str | None:
+    return visual_forms([text], fold=fold)[0]
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
-        yield pd.DataFrame({"value": f["value"], "form": [visual_form(v) for v in f["value"]], "folded": [visual_form(v, fold=True) for v in f["value"]]})
+        values = [v if isinstance(v, str) else None for v in f["value"]]
+        yield pd.DataFrame({"value": values, "form": visual_forms(values), "folded": visual_forms(values, fold=True)}, dtype=object)
 
 
 def distinct_forms(values: DataFrame, column: str) -> DataFrame:
