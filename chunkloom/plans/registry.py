@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import lexical
+from ..sources.tables import table
 from . import documents, records, service
 
 QUERIES = documents.QUERIES | records.QUERIES | service.QUERIES
@@ -9,4 +13,6 @@ SQL = documents.SQL | records.SQL | service.SQL
 
 
 def flagship(spark, sf_dir):
-    return records.bm25_topk(spark, sf_dir)
+    """The ten best records of every question, by channel."""
+    asked = table(spark, sf_dir, "questions").filter("original_query IS NOT NULL").select(F.col("question_id").alias("query_id"), F.col("original_query").alias("query"))
+    return lexical.bm25(asked, lexical.channels(table(spark, sf_dir, "records")), k=10)
