@@ -100,3 +100,71 @@ def utf8_bytes(text: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and ending."""
+    return F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1)
+
+
+def is_local_figure(path: Column) -> Column:
+    return path.rlike(r"^(?!https?://)[^\s]+\.png$")
+
+
+def image_target(anchor: Column) -> Column:
+    """Target of a Markdown image, without its title."""
+    return F.regexp_extract(anchor, r'!\[[^\]]*\]\(\s*<?([^)\s>]+)>?(?:\s+"[^"]*")?\s*\)', 1)
+
+
+def input_block(title: Column, section: Column, label: Column, source: Column) -> Column:
+    """The block a record is encoded as; parts that are null are left out."""
+    part = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{name}: "), c))
+    return F.concat_ws("\n", part("TITLE", title), part("SECTION", section), part("LABEL", label), F.lit("SOURCE:"), F.coalesce(source, F.lit("")))
+
+
+def source_block(retrieval_text: Column) -> Column:
+    """What follows the first SOURCE line; the whole text where there is none."""
+    at = F.instr(retrieval_text, "\nSOURCE:\n")
+    return F.when(at > 0, F.substring(retrieval_text, at + 9, F.length(retrieval_text))).otherwise(retrieval_text)
+
+
+def content_id(document_id: Column, body: Column) -> Column:
+    """An id made of the document and the first 20 hex digits of the body's hash."""
+    return F.concat(document_id, F.lit("::text::context-"), F.substring(F.sha2(body, 256), 1, 20))
+
+
+def span_id(start: Column, stop: Column) -> Column:
+    return F.format_string("s%d_%d", start, stop)
+
+
+def span_of(ident: Column) -> Column:
+    """(start, stop) of a span id; nulls where it is none."""
+    cut = lambda k: F.regexp_extract(ident, r"^s([0-9]+)_([0-9]+)$", k)
+    return F.struct(F.nullif(cut(1), F.lit("")).cast("int").alias("start"), F.nullif(cut(2), F.lit("")).cast("int").alias("stop"))
+
+
+def evidence_words(text: Column) -> Column:
+    """Distinct Latin words of the lower-cased text, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+
+
+def unquoted(text: Column) -> Column:
+    """A text without its quoted parts."""
+    return F.regexp_replace(text, "\"[^\"]*\"|“[^”]*”|《[^》]*》|«[^»]*»", "")
+
+
+def completeness_hints(text: Column) -> Column:
+    """Which of negation, comparison and order a text has, as a comma list."""
+    flag = lambda name, p: F.when(F.lower(text).rlike(p), name)
+    return F.concat_ws(",", flag("negation", r"\b(not|no|never|without|nicht|kein|ohne|sans|sin)\b|没|不"), flag("comparison", r"\b(than|versus|vs|difference|compare|compara|gegenüber)\b|比|不同"), flag("order", r"\b(before|after|first|last|vor|nach|avant|après|antes|después)\b|之前|之后"))
+
+
+def masked(text: Column, limit: int = 500) -> Column:
+    """A message fit to be shown: no traceback lines, long keys masked, cut to ``limit`` characters."""
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*(Traceback|File \"|at )"))
+    return F.substring(F.regexp_replace(F.array_join(lines, "\n"), r"[A-Za-z0-9_-]{32,}", "***"), 1, limit)
+
+
+def bounded(text: Column, word: Column) -> Column:
+    """Whether a word stands in a text with no letter, digit or underscore beside it."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9_]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), word, F.lit(" ")))

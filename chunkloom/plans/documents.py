@@ -232,3 +232,12 @@ SELECT a.doc_id AS "inner", b.doc_id AS "outer" FROM e a JOIN e b ON a.line = b.
 def overlap_containment(spark, sf_dir):
     """Texts whose lines all stand in one larger text."""
     return context.contained(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(r"""SELECT question_id, len(list_distinct(regexp_extract_all(lower(original_query), '[a-z]+'))) AS words, length(regexp_replace(original_query, '"[^"]*"|“[^”]*”|《[^》]*》|«[^»]*»', '', 'g')) AS unquoted_chars,
+array_to_string(list_filter([CASE WHEN regexp_matches(lower(original_query), '\b(not|no|never|without|nicht|kein|ohne|sans|sin)\b|没|不') THEN 'negation' END, CASE WHEN regexp_matches(lower(original_query), '\b(than|versus|vs|difference|compare|compara|gegenüber)\b|比|不同') THEN 'comparison' END,
+CASE WHEN regexp_matches(lower(original_query), '\b(before|after|first|last|vor|nach|avant|après|antes|después)\b|之前|之后') THEN 'order' END], lambda x: x IS NOT NULL), ',') AS hints FROM questions WHERE original_query IS NOT NULL""")
+def question_hints(spark, sf_dir):
+    """What a rewriting of each question must keep."""
+    q = F.col("original_query")
+    return table(spark, sf_dir, "questions").filter(q.isNotNull()).select("question_id", F.size(T.evidence_words(q)).alias("words"), F.length(T.unquoted(q)).alias("unquoted_chars"), T.completeness_hints(q).alias("hints"))

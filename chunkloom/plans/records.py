@@ -482,3 +482,21 @@ def ngram_tf(spark, sf_dir):
     pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))
     wanted = _search_queries(spark, sf_dir).select("query_id", t.alias("t")).filter(F.size("t") >= 2).select("query_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
     return lexical.phrase_frequency(lexical.channels(_records(spark, sf_dir)), wanted)
+
+
+@query(r"""SELECT ord, regexp_extract(source_path, '([^/]+)\.[^./]*$', 1) AS stem, coalesce(regexp_matches(image_path, '^[^\s]+\.png$') AND NOT regexp_matches(image_path, '^https?://'), false) AS local_figure,
+sha256(array_to_string(list_filter([CASE WHEN document_title <> '' THEN 'TITLE: ' || document_title END, CASE WHEN array_to_string(section_path, ' / ') <> '' THEN 'SECTION: ' || array_to_string(section_path, ' / ') END, CASE WHEN label <> '' THEN 'LABEL: ' || label END, 'SOURCE:', coalesce(text, '')], lambda x: x IS NOT NULL), chr(10))) AS block,
+length(CASE WHEN strpos(retrieval_text, chr(10) || 'SOURCE:' || chr(10)) > 0 THEN substr(retrieval_text, strpos(retrieval_text, chr(10) || 'SOURCE:' || chr(10)) + 9) ELSE retrieval_text END) AS source_chars,
+document_id || '::text::context-' || substr(sha256(text), 1, 20) AS content_id, printf('s%d_%d', e16_span.char_start, e16_span.char_end) AS span FROM records""")
+def record_builders(spark, sf_dir):
+    """What a record is encoded as, and the ids made of its path, content and span."""
+    start, stop = F.col("e16_span.char_start"), F.col("e16_span.char_end")
+    return _records(spark, sf_dir).select(
+        "ord",
+        T.stem(F.col("source_path")).alias("stem"),
+        F.coalesce(T.is_local_figure(F.col("image_path")), F.lit(False)).alias("local_figure"),
+        T.sha256(T.input_block(F.col("document_title"), F.array_join("section_path", " / "), F.col("label"), F.col("text"))).alias("block"),
+        F.length(T.source_block(F.col("retrieval_text"))).alias("source_chars"),
+        T.content_id(F.col("document_id"), F.col("text")).alias("content_id"),
+        F.when(start.isNotNull(), T.span_id(start, stop)).alias("span"),
+    )

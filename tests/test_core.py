@@ -196,3 +196,15 @@ def test_phrases_are_counted_without_overlap(spark):
     texts = spark.createDataFrame([("body", 1, "d", "x x x x"), ("body", 2, "d", "x y"), ("body", 3, "d", "")], "channel string, id long, document_id string, body string")
     wanted = spark.createDataFrame([(1, "x x"), (1, "y x")], "query_id long, phrase string")
     assert [(r.phrase, r.id, r.tf) for r in lexical.phrase_frequency(texts, wanted).collect()] == [("x x", 1, 1)]
+
+
+def test_small_builders(spark):
+    assert one(spark, T.image_target(F.col("t")), t='![x](img/a.png "Title")') == "img/a.png"
+    assert one(spark, T.stem(F.col("t")), t="a/b.c/guide.v2.md") == "guide.v2"
+    assert tuple(one(spark, T.span_of(F.col("t")), t="s12_40")) == (12, 40) and tuple(one(spark, T.span_of(F.col("t")), t="x")) == (None, None)
+    assert one(spark, T.source_block(F.col("t")), t="A\nSOURCE:\nb\nSOURCE:\nc") == "b\nSOURCE:\nc"
+    assert one(spark, T.masked(F.col("t"), 20), t='Traceback (most recent)\n  File "x", line 1\nkey ' + "k" * 40 + " ended here now") == "key *** ended here n"
+    assert one(spark, T.shown(F.col("t")), t="See ![a](b.png) it [S1, S2] .") == "See it."
+    assert one(spark, T.escaped(F.col("t")), t="a*b") == "a\\*b"
+    assert one(spark, T.safe_url(F.col("t")), t="javascript:x") is None
+    assert one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is (k) 10", w="k") and not one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is 10", w="k")
