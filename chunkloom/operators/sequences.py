@@ -124,3 +124,35 @@ def greedy_spans(spans: DataFrame) -> DataFrame:
     clash = lambda kept, x: F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
     kept = F.aggregate("items", none, lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.array_append(kept, x)))
     return spans.groupBy("id").agg(items.alias("items")).select("id", F.explode(kept).alias("x")).select("id", "x.start", "x.stop", "x.tie")
+
+
+REFERENCES, APPENDIX = r"(?i)^#+\s*(references|bibliography|参考文献)\s*$", r"(?i)^#+\s*(appendix|appendices|附录)"
+
+
+def chunked(texts: DataFrame, least: int = 220) -> DataFrame:
+    """(doc_id, seq, chunk_id, body): a text's paragraphs grouped at headings, in order, ids made of document and place.
+
+    A chunk that is only headings, or thinner than ``least`` characters, goes on
+    into the next group; a last one like that joins the chunk before.  What
+    follows a heading of references is left out up to a heading of an appendix.
+    One fold over the paragraphs of a row, so nothing is shuffled.
+    """
+    only_headings = lambda t: F.forall(F.split(t, "\n"), lambda x: (x == "") | x.startswith("#"))
+    thin = lambda t: (F.length(t) < least) | only_headings(t)
+    start = F.expr("struct(cast(array() as array<string>) as done, cast(null as string) as open, false as skip)")
+
+    def step(s, p):
+        heading = T.is_heading(p)
+        skip = F.when(heading & p.rlike(REFERENCES), True).when(heading & p.rlike(APPENDIX), False).otherwise(s["skip"])
+        cut = heading & ~thin(s["open"])
+        done = F.when(~skip & s["open"].isNotNull() & cut, F.array_append(s["done"], s["open"])).otherwise(s["done"])
+        opened = F.when(skip, s["open"]).when(s["open"].isNull() | cut, p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
+        return F.struct(done.alias("done"), opened.alias("open"), skip.alias("skip"))
+
+    def finish(s):
+        n = F.size(s["done"])
+        back = F.array_append(F.slice(s["done"], F.lit(1), n - 1), F.concat(F.get(s["done"], n - 1), F.lit("\n\n"), s["open"]))
+        return F.when(s["open"].isNull(), s["done"]).when((n > 0) & thin(s["open"]), back).otherwise(F.array_append(s["done"], s["open"]))
+
+    folded = texts.filter("text is not null").select("doc_id", F.posexplode(F.aggregate(T.paragraphs(F.col("text")), start, step, finish)).alias("n", "body"))
+    return folded.select("doc_id", (F.col("n") + 1).alias("seq"), F.format_string("%d::text::%04d", "doc_id", F.col("n") + 1).alias("chunk_id"), "body")

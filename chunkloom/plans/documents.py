@@ -241,3 +241,9 @@ def question_hints(spark, sf_dir):
     """What a rewriting of each question must keep."""
     q = F.col("original_query")
     return table(spark, sf_dir, "questions").filter(q.isNotNull()).select("question_id", F.size(T.evidence_words(q)).alias("words"), F.length(T.unquoted(q)).alias("unquoted_chars"), T.completeness_hints(q).alias("hints"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """Every text as ordered chunks: heading groups, thin ones merged, references left out."""
+    return sequences.chunked(_documents(spark, sf_dir)).select("doc_id", "seq", "chunk_id", F.length("body").alias("chars"), T.sha256(F.col("body")).alias("digest"))

@@ -208,3 +208,34 @@ def test_small_builders(spark):
     assert one(spark, T.escaped(F.col("t")), t="a*b") == "a\\*b"
     assert one(spark, T.safe_url(F.col("t")), t="javascript:x") is None
     assert one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is (k) 10", w="k") and not one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is 10", w="k")
+
+
+def chunks_by_hand(text, least=220):
+    paragraphs = [p.strip(" \t\n") for p in re.split(r"\n[ \t]*(?:\n[ \t]*)+", text)]
+    only = lambda t: all(x == "" or x.startswith("#") for x in t.split("\n"))
+    groups, skip = [], False
+    for p in filter(None, paragraphs):
+        if p.startswith("#"):
+            skip = bool(re.match(sequences.REFERENCES, p)) or (skip and not re.match(sequences.APPENDIX, p))
+        if skip:
+            continue
+        if not groups or (p.startswith("#") and not (len(groups[-1]) < least or only(groups[-1]))):
+            groups.append(p)
+        else:
+            groups[-1] += "\n\n" + p
+    if len(groups) > 1 and (len(groups[-1]) < least or only(groups[-1])):
+        last = groups.pop()
+        groups[-1] += "\n\n" + last
+    return groups
+
+
+def test_chunker_equals_the_rule(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["# Head", "## References", "# Appendix A", "x" * rng.randint(1, 300), "y " * 60, "## Sub\n### Subsub"])
+    texts = [(k, "\n\n".join(part() for _ in range(rng.randint(0, 14)))) for k in range(80)] + [(90, None)]
+    got = {}
+    for r in sequences.chunked(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.body)
+        assert r.chunk_id == f"{r.doc_id}::text::{r.seq:04d}"
+    for k, t in texts:
+        assert got.get(k, []) == (chunks_by_hand(t) if t else [])
