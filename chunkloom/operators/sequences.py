@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,19 +20,64 @@ def heading_groups(parts: DataFrame) -> DataFrame:
     return parts.withColumn("grp", F.sum(T.is_heading(F.col("paragraph")).cast("int")).over(so_far))
 
 
+BLOCK = 4096
+
+
+def _blocked(rows: DataFrame, key: str, block: Column) -> DataFrame:
+    return rows.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).withColumn("__block", F.coalesce(block, F.lit(-1)).cast("long"))
+
+
+def carried(rows: DataFrame, key: str, block: Column, order: list[str], value: Column, name: str, *, strict: bool = False, backward: bool = False) -> DataFrame:
+    """Rows with the last non-null value of their key at or before them in order; strict: before; backward: at or after.
+
+    A key may hold a third of all rows, so no task sees a whole key: rows are
+    looked through inside blocks of the order (block must not fall as the order
+    rises), and one value a block is carried to the blocks after it.
+    """
+    marked = _blocked(rows, key, block).withColumn("__value", value)
+    inside = Window.partitionBy("__key", "__block").orderBy(*order)
+    pick, best, step = (F.first, F.min_by, 1) if backward else (F.last, F.max_by, -1)
+    frame = (step if strict else 0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, step if strict else 0)
+    own = pick("__value", True).over(inside.rowsBetween(*frame))
+    there = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    ends = marked.groupBy("__key", "__block").agg(best("__value", there).alias("__end"))
+    far = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
+    brought = ends.select("__key", "__block", pick("__end", True).over(Window.partitionBy("__key").orderBy("__block").rowsBetween(*far)).alias("__far"))
+    return marked.withColumn("__own", own).join(brought, ["__key", "__block"]).withColumn(name, F.coalesce("__own", "__far")).drop("__key", "__block", "__value", "__own", "__far")
+
+
+def running(rows: DataFrame, key: str, block: Column, order: list[str], value: Column, name: str, *, total=F.sum, strict: bool = False) -> DataFrame:
+    """Rows with the sum (or max, min) of a value over their key up to them, null where there is none; strict: before them. Blocks as in carried()."""
+    marked = _blocked(rows, key, block).withColumn("__value", value)
+    own = total("__value").over(Window.partitionBy("__key", "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+    ends = marked.groupBy("__key", "__block").agg(total("__value").alias("__end"))
+    brought = ends.select("__key", "__block", total("__end").over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))
+    both = F.when(F.col("__own").isNull(), F.col("__far")).when(F.col("__far").isNull(), F.col("__own"))
+    both = both.otherwise(F.col("__own") + F.col("__far") if total is F.sum else (F.greatest if total is F.max else F.least)("__own", "__far"))
+    return marked.withColumn("__own", own).join(brought, ["__key", "__block"]).withColumn(name, both).drop("__key", "__block", "__value", "__own", "__far")
+
+
+def _place() -> Column:
+    return F.floor(F.col("seq") / BLOCK)
+
+
+def document_places(records: DataFrame) -> DataFrame:
+    """(ord, document_id, place): each record's place in its document, from 1."""
+    return running(records, "document_id", _place(), ["seq", "ord"], F.lit(1), "place").select("ord", "document_id", "place")
+
+
 def text_neighbours(records: DataFrame) -> DataFrame:
     """(id, before, after): the nearest text records of the same document strictly before and after each visual one."""
-    w = Window.partitionBy("document_id").orderBy("seq", "ord")
     text = F.when(F.col("kind") == "text", F.col("ord"))
-    linked = records.withColumn("before", F.last(text, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(text, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    linked = carried(records, "document_id", _place(), ["seq", "ord"], text, "before", strict=True)
+    linked = carried(linked, "document_id", _place(), ["seq", "ord"], text, "after", strict=True, backward=True)
     return linked.filter("kind <> 'text'").select(F.col("ord").alias("id"), "before", "after")
 
 
 def section_as_of(records: DataFrame) -> DataFrame:
     """(id, section): the last non-empty section at or before each record of its document."""
-    w = Window.partitionBy("document_id").orderBy("seq", "ord").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.size("section_path") > 0, F.array_join(F.col("section_path"), " / "))
-    return records.select(F.col("ord").alias("id"), F.last(own, True).over(w).alias("section"))
+    return carried(records, "document_id", _place(), ["seq", "ord"], own, "section").select(F.col("ord").alias("id"), "section")
 
 
 def merged_thin(texts: DataFrame, least: int = 220) -> DataFrame:
@@ -78,13 +123,15 @@ def overlapping_spans(texts: DataFrame, *, limit: int, overlap: int) -> DataFram
     return done
 
 
-def maximal_spans(spans: DataFrame) -> DataFrame:
+def maximal_spans(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Spans that no other span of their id contains; of equal spans the first by tie stays.
 
-    spans: id, start, stop, tie.  One window instead of a self-join: by start, longest first, a span is contained if an earlier one ends no sooner.
+    spans: id, start, stop, tie.  No self-join: by start, longest first, a span is
+    contained if an earlier one ends no sooner.  width: how much of ``start`` one task sees at once.
     """
-    w = Window.partitionBy("id").orderBy("start", F.desc("stop"), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("reach", F.max("stop").over(w)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach"))).drop("reach")
+    ordered = spans.withColumn("__back", -F.col("stop"))
+    seen = running(ordered, "id", F.floor(F.col("start") / width), ["start", "__back", "tie"], F.col("stop"), "reach", total=F.max, strict=True)
+    return seen.filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach"))).drop("reach", "__back")
 
 
 def line_segments(texts: DataFrame) -> DataFrame:
@@ -109,11 +156,14 @@ def line_segments(texts: DataFrame) -> DataFrame:
     return marked.withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "segment", "kind").agg((F.min("n") + 1).alias("first"), F.count("*").alias("lines"))
 
 
-def clear_spans(spans: DataFrame) -> DataFrame:
-    """Spans that overlap no other of their id: of two that clash both are left out. Half-open: touching is no clash."""
-    before = Window.partitionBy("id").orderBy("start", "stop", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("id").orderBy("start", "stop", "tie").rowsBetween(1, 1)
-    seen = spans.withColumn("reach", F.max("stop").over(before)).withColumn("next", F.min("start").over(after))
+def clear_spans(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Spans that overlap no other of their id: of two that clash both are left out. Half-open: touching is no clash.
+
+    width: how much of ``start`` one task sees at once.
+    """
+    block, order = F.floor(F.col("start") / width), ["start", "stop", "tie"]
+    seen = running(spans, "id", block, order, F.col("stop"), "reach", total=F.max, strict=True)
+    seen = carried(seen, "id", block, order, F.col("start"), "next", strict=True, backward=True)
     return seen.filter((F.col("reach").isNull() | (F.col("reach") <= F.col("start"))) & (F.col("next").isNull() | (F.col("next") >= F.col("stop")))).drop("reach", "next")
 
 

@@ -43,8 +43,7 @@ def latest_records(spark, sf_dir):
 @query("""SELECT ord, document_id, row_number() OVER (PARTITION BY document_id ORDER BY seq, ord) AS place FROM records""")
 def document_order(spark, sf_dir):
     """Each record's place in its document."""
-    rows = _records(spark, sf_dir).select("ord", "document_id", "seq")
-    return rows.select("ord", "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("seq", "ord")).alias("place"))
+    return sequences.document_places(_records(spark, sf_dir).select("ord", "document_id", "seq"))
 
 
 @query(f"""WITH ch AS ({CHANNEL_SQL}) SELECT channel, id, len(t) AS tokens FROM ch""")
@@ -392,7 +391,7 @@ SELECT id, start, stop, tie FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b
 def span_clear(spark, sf_dir):
     """Running times of jobs that clash with no other job of their question."""
     rows = table(spark, sf_dir, "jobs").filter("finished_at > created_at AND question_id IS NOT NULL")
-    return sequences.clear_spans(rows.select(F.col("question_id").alias("id"), F.unix_micros("created_at").alias("start"), F.unix_micros("finished_at").alias("stop"), F.col("job_id").alias("tie")).distinct())
+    return sequences.clear_spans(rows.select(F.col("question_id").alias("id"), F.unix_micros("created_at").alias("start"), F.unix_micros("finished_at").alias("stop"), F.col("job_id").alias("tie")).distinct(), width=86_400_000_000)
 
 
 @query()

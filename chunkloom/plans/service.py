@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import context
+from ..operators import context, sequences
 from ..sources.tables import table
 from ..streaming import queue
 
@@ -47,8 +47,8 @@ def queue_serial(spark, sf_dir):
     """The most jobs that ran at once on each day, of those that began on it: starts and ends summed in order of time; an end comes before a start."""
     j = _jobs(spark, sf_dir).filter("finished_at > created_at").select("job_id", F.unix_micros("created_at").alias("a"), F.unix_micros("finished_at").alias("b")).distinct()
     e = j.select(F.col("a").alias("at"), F.lit(1).alias("step")).unionByName(j.select(F.col("b").alias("at"), F.lit(-1).alias("step")))
-    w = Window.partitionBy("day").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("day", F.expr("at div 86400000000")).withColumn("running", F.sum("step").over(w)).groupBy("day").agg(F.max("running").alias("most"))
+    timed = e.withColumn("day", F.expr("at div 86400000000"))
+    return sequences.running(timed, "day", F.expr("at div 600000000"), ["at", "step"], F.col("step"), "running").groupBy("day").agg(F.max("running").alias("most"))
 
 
 @query("""WITH j AS (SELECT question_id, status FROM jobs WHERE question_id IS NOT NULL), c AS (SELECT question_id, count(*) AS jobs, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'answered') AS answered, count(*) FILTER (status = 'no_answer') AS none FROM j GROUP BY 1)
@@ -102,10 +102,10 @@ def cite_unknown_unused(spark, sf_dir):
 
 @query("""WITH p AS (SELECT user_id, ts, event_id, event_type FROM events WHERE event_type = 'purchase') SELECT e.event_id, arg_max(p.event_id, (p.ts, p.event_id)) AS last_purchase FROM events e LEFT JOIN p ON p.user_id = e.user_id AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id <= e.event_id)) GROUP BY 1""")
 def asof_join(spark, sf_dir):
-    """Each event with its user's latest purchase so far: an as-of join by one window."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Each event with its user's latest purchase so far: an as-of join without a join of events."""
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.last(bought, True).over(w).alias("last_purchase"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return sequences.carried(rows, "user_id", F.expr("unix_date(cast(ts as date))"), ["ts", "event_id"], bought, "last_purchase").select("event_id", "last_purchase")
 
 
 @query("SELECT DISTINCT job_id, query FROM jobs WHERE job_id IS NOT NULL")

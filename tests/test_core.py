@@ -239,3 +239,24 @@ def test_chunker_equals_the_rule(spark):
         assert r.chunk_id == f"{r.doc_id}::text::{r.seq:04d}"
     for k, t in texts:
         assert got.get(k, []) == (chunks_by_hand(t) if t else [])
+
+
+def test_values_carried_over_blocks_are_those_of_one_window(spark):
+    from pyspark.sql.window import Window
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 60), k, rng.choice([None, None, k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "key string, seq int, ord long, v long")
+    w = Window.partitionBy("key").orderBy("seq", "ord")
+    plain = {
+        ("back", False): F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)), ("back", True): F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        ("on", False): F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), ("on", True): F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+    }
+    block = F.floor(F.col("seq") / 7)
+    for (way, strict), column in plain.items():
+        got = {r.ord: r.x for r in sequences.carried(df, "key", block, ["seq", "ord"], F.col("v"), "x", strict=strict, backward=way == "back").collect()}
+        assert got == {r.ord: r.x for r in df.withColumn("x", column).collect()}
+    for total in (F.sum, F.max, F.min):
+        for strict in (False, True):
+            got = {r.ord: r.x for r in sequences.running(df, "key", block, ["seq", "ord"], F.col("v"), "x", total=total, strict=strict).collect()}
+            assert got == {r.ord: r.x for r in df.withColumn("x", total("v").over(w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))).collect()}
