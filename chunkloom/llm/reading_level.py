@@ -38,7 +38,7 @@ _DROPPED_LINE = re.compile(r"^(?:[ ]{0,3}#{1,6}(?:[ \t].*)?|[ \t]*\|.*|[ \t]*(?:
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)|<[^>\n]{1,200}>|\b(?:https?://|www\.)\S+|`[^`\n]*`")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+|^[ \t]*>[ \t]?", re.M)
 _WRAP = re.compile(r"(?<=\S)[ \t]*\n[ \t]*(?=[^\W\d_A-ZÀ-Þ一-鿿])")
-_END = re.compile(r"(?<=[。！？])|(?<=[.!?…])[\"'”»)\]]*\s+(?=[^\sa-z\d])|[\r\n  ]+")
+_END = re.compile(r"(?<=[。！？])|(?<=[.!?…])[\"'”»)\]]*\s+(?=[^\sa-z\d])|[\r\n\u2028\u2029]+")
 
 # Frequent short words by which passages in another language are told.
 COMMON_WORDS = {

@@ -27,9 +27,9 @@ from .words import Words
 
 HEADING, PARAGRAPH, LINE, SENTENCE, BLANK, NOWHERE = "heading", "paragraph", "line", "sentence", "blank", "nowhere"
 _STRENGTH = {HEADING: 4, PARAGRAPH: 3, LINE: 2, SENTENCE: 1}
-_BREAK = re.compile(r"(?:\r\n|\r|\n| | )(?:[^\S\r\n  ]*(?:\r\n|\r|\n| | ))*")
+_BREAK = re.compile(r"(?:\r\n|\r|\n|\u2028|\u2029)(?:[^\S\r\n\u2028\u2029]*(?:\r\n|\r|\n|\u2028|\u2029))*")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[”’」』）]*\s*")
-_ONE_BREAK = re.compile(r"\r\n|\r|\n| | ")
+_ONE_BREAK = re.compile(r"\r\n|\r|\n|\u2028|\u2029")
 _HEADING = re.compile(r" {0,3}#{1,6}(?:\s|$)|(?:=+|-+)\s*$")
 
 
