@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import language, table
 from .words import Words, mix, pieces_of
 
 GRADES = 5
@@ -257,5 +257,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).filter(f"words >= {LEAST_WORDS} and demanding >= 0.5").select("doc_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels}
+def level_profile(levels: DataFrame, documents: DataFrame) -> DataFrame:
+    """(domain, language, level, documents, words): how demanding each slice is; documents without prose have level 0, null domains are 'unknown'."""
+    slices = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min(language(F.col("lang"))).alias("language"))
+    rows = levels.select("doc_id", "level", "words").join(slices, "doc_id")
+    return rows.groupBy(F.coalesce("domain", F.lit("unknown")).alias("domain"), "language", "level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return level_profile(reading_levels(documents, table(spark, sf_dir, "reading_labels")), documents.select("doc_id", "domain", "lang"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
 SQL: dict[str, str] = {}

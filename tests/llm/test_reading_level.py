@@ -1,6 +1,6 @@
 import random
 
-from chunkloom.llm.reading_level import prose, reading_levels
+from chunkloom.llm.reading_level import level_profile, prose, reading_levels
 
 EASY = ["cat", "dog", "sun", "box", "red", "run", "sit", "big"]
 HARD = ["epistemological", "parameterization", "incommensurable", "heterogeneity", "operationalize", "disambiguation"]
@@ -31,3 +31,10 @@ def test_levels_on_held_out_documents(spark):
     assert sum((out[k].demanding >= 0.5) == (levels[k] >= 4) for k in held) >= 90
     assert out[900].level == out[901].level == out[902].level == 0 and out[900].demanding == 0 and out[903].level == 5
     assert reading_levels(d, g.limit(0)).count() == reading_levels(d.limit(0), g).count() == 0
+
+
+def test_profile(spark):
+    levels = spark.createDataFrame([(1, 10, 4), (2, 20, 4), (3, 0, 0), (4, 5, 1)], "doc_id long, words int, level int")
+    docs = spark.createDataFrame([(1, "a", "EN"), (2, "a", "en-US"), (3, None, None), (4, "a", "中文"), (None, "a", "en")], "doc_id long, domain string, lang string")
+    got = {(r.domain, r.language, r.level, r.documents, r.words) for r in level_profile(levels, docs).collect()}
+    assert got == {("a", "en", 4, 2, 30), ("unknown", "und", 0, 1, 0), ("a", "zh", 1, 1, 5)}
