@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[0-9]+(?:\.[0-9]+)+|[a-z]+|[0-9]+"
-LATIN_LABEL = r"(?i)(?<![a-z])(fig(?:ure|\.)?|tab(?:le|\.)?)\s*([0-9]+|[ivxlcdm]+)(?![a-z0-9])"
-CJK_LABEL = r"([图表])\s*([0-9]+)"
+LATIN_LABEL = r"(?iU)\b(fig(?:ure|\.)?|tab(?:le|\.)?)\s*([0-9]+|[ivxlcdm]+)\b"
+CJK_LABEL = r"(?U)([图表])\s*([0-9]+)"
 CITATION = r"\[\s*S[0-9]+(?:\s*,\s*S[0-9]+)*\s*\]"
 
 

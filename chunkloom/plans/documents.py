@@ -45,7 +45,10 @@ def heading_groups(spark, sf_dir):
     return grouped.groupBy("doc_id", "grp").agg(F.count("*").alias("paragraphs"), F.min("n").alias("first"), F.sum(F.length("paragraph")).alias("chars"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, n, length(paragraph) AS len FROM ({_PARAS})),
+f AS (SELECT doc_id, n, len AS open, NULL::BIGINT AS done FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, CASE WHEN f.open >= 220 THEN p.len ELSE f.open + 2 + p.len END, CASE WHEN f.open >= 220 THEN f.open END FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1),
+e AS (SELECT doc_id, done AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM f WHERE done IS NOT NULL), l AS (SELECT doc_id, arg_max(open, n) AS open, count(done) AS m FROM f GROUP BY 1)
+SELECT e.doc_id, k AS n, e.chars + CASE WHEN k = e.m AND l.open < 220 THEN 2 + l.open ELSE 0 END AS chars FROM e JOIN l USING (doc_id) UNION ALL SELECT doc_id, m + 1, open FROM l WHERE open >= 220 OR m = 0""")
 def thin_merge(spark, sf_dir):
     """Chunk lengths after thin paragraphs are merged with their neighbours."""
     return sequences.merged_thin(_documents(spark, sf_dir))
@@ -243,7 +246,16 @@ def question_hints(spark, sf_dir):
     return table(spark, sf_dir, "questions").filter(q.isNotNull()).select("question_id", F.size(T.evidence_words(q)).alias("words"), F.length(T.unquoted(q)).alias("unquoted_chars"), T.completeness_hints(q).alias("hints"))
 
 
-@query()
+_THIN = "(length({0}) < 220 OR NOT regexp_matches({0}, '(^|\\n)[^#\\n]'))"
+
+
+@query(rf"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, n, paragraph, starts_with(paragraph, '#') AS head FROM ({_PARAS})),
+f AS (SELECT doc_id, 0::BIGINT AS n, NULL::VARCHAR AS open, false AS skip, NULL::VARCHAR AS done FROM (SELECT DISTINCT doc_id FROM p) UNION ALL
+SELECT doc_id, n, CASE WHEN skip THEN open WHEN open IS NULL OR cut THEN paragraph ELSE open || chr(10) || chr(10) || paragraph END, skip, CASE WHEN NOT skip AND open IS NOT NULL AND cut THEN open END FROM
+(SELECT p.doc_id, p.n, p.paragraph, f.open, CASE WHEN head AND regexp_matches(paragraph, '(?i)^#+\s*(references|bibliography|参考文献)\s*$') THEN true WHEN head AND regexp_matches(paragraph, '(?i)^#+\s*(appendix|appendices|附录)') THEN false ELSE f.skip END AS skip, head AND NOT {_THIN.format('f.open')} AS cut FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1)),
+e AS (SELECT doc_id, done AS body, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM f WHERE done IS NOT NULL), l AS (SELECT doc_id, arg_max(open, n) AS open, count(done) AS m FROM f GROUP BY 1),
+c AS (SELECT e.doc_id, k AS seq, CASE WHEN k = e.m AND l.open IS NOT NULL AND {_THIN.format('l.open')} THEN e.body || chr(10) || chr(10) || l.open ELSE e.body END AS body FROM e JOIN l USING (doc_id) UNION ALL SELECT doc_id, m + 1, open FROM l WHERE open IS NOT NULL AND (m = 0 OR NOT {_THIN.format('open')}))
+SELECT doc_id, seq, printf('%d::text::%04d', doc_id, seq) AS chunk_id, length(body) AS chars, sha256(body) AS digest FROM c""")
 def chunk_documents(spark, sf_dir):
     """Every text as ordered chunks: heading groups, thin ones merged, references left out."""
     return sequences.chunked(_documents(spark, sf_dir)).select("doc_id", "seq", "chunk_id", F.length("body").alias("chars"), T.sha256(F.col("body")).alias("digest"))

@@ -177,7 +177,13 @@ def scope_label(spark, sf_dir):
     return wanted.join(carried, ["document_id", "key"], "left").groupBy("question_id", "key").agg(F.count("ord").alias("candidates"))
 
 
-@query()
+_ROMAN = "list_sum(list_transform(string_split({0}, ''), lambda c, i: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] * CASE WHEN [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] < coalesce(list_max(list_transform(string_split({0}, '')[i + 1:], lambda d: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', d)])), 0) THEN -1 ELSE 1 END))"
+
+
+@query(rf"""WITH m AS (SELECT question_id, 1 AS part, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT question_id, list_transform(regexp_extract_all(lower(original_query), '(?:^|[^\p{{L}}\p{{N}}_])(?:fig(?:ure|\.)?|tab(?:le|\.)?)[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)(?:[^\p{{L}}\p{{N}}_]|$)'), lambda x: regexp_extract(x, '(?:fig|tab)[a-z.]*[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)')) AS l FROM questions)
+UNION ALL SELECT question_id, 2, unnest(l), unnest(range(len(l))) FROM (SELECT question_id, regexp_extract_all(original_query, '[图表][\s\p{{Z}}]*[0-9]+') AS l FROM questions)),
+n AS (SELECT question_id, part, i, CASE WHEN m[1] IN ('f', '图') THEN 'figure:' ELSE 'table:' END AS kind, CASE WHEN regexp_matches(m, '[0-9]+$') THEN regexp_extract(m, '[0-9]+$')::BIGINT ELSE {_ROMAN.format("regexp_extract(m, '(?:figure|fig|table|tab)[.]?[\\s\\p{Z}]*([ivxlcdm]+)$', 1)")} END AS v FROM m),
+k AS (SELECT question_id, kind || v::BIGINT::VARCHAR AS label, min(part * 1000 + i) AS place FROM n WHERE v >= 1 GROUP BY 1, 2) SELECT question_id, string_agg(label, ',' ORDER BY place) AS labels FROM k GROUP BY 1""")
 def label_parse(spark, sf_dir):
     """Labels named in each question: Latin forms with digits or Roman numerals first, then CJK forms."""
     q = table(spark, sf_dir, "questions").filter("original_query IS NOT NULL")
@@ -394,7 +400,10 @@ def span_clear(spark, sf_dir):
     return sequences.clear_spans(rows.select(F.col("question_id").alias("id"), F.unix_micros("created_at").alias("start"), F.unix_micros("finished_at").alias("stop"), F.col("job_id").alias("tie")).distinct(), width=86_400_000_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT id, start, stop, tie, row_number() OVER (PARTITION BY id ORDER BY tie, start, stop) AS n FROM ({_SPANS_SQL})),
+f AS (SELECT id, n, start, stop, tie, true AS take, [{{'a': start, 'b': stop}}] AS kept FROM s WHERE n = 1 UNION ALL
+SELECT s.id, s.n, s.start, s.stop, s.tie, len(list_filter(kept, lambda k: k.a < s.stop AND s.start < k.b)) = 0, CASE WHEN len(list_filter(kept, lambda k: k.a < s.stop AND s.start < k.b)) = 0 THEN list_append(kept, {{'a': s.start, 'b': s.stop}}) ELSE kept END FROM f JOIN s ON s.id = f.id AND s.n = f.n + 1)
+SELECT id, start, stop, tie FROM f WHERE take""")
 def span_greedy(spark, sf_dir):
     """A subset of spans without overlap, the earlier record first."""
     return sequences.greedy_spans(_spans(spark, sf_dir))
