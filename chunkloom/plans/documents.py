@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import context, sequences
+from ..operators import context, resolve, sequences
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -141,10 +141,9 @@ def name_contains(spark, sf_dir):
 SELECT question_id, document_id, alias FROM t JOIN w USING (token) JOIN n USING (document_id, alias) GROUP BY question_id, document_id, alias, need HAVING count(*) = need""")
 def token_division(spark, sf_dir):
     """Aliases of which a question has every word: relational division."""
-    alias = table(spark, sf_dir, "doc_catalog").select("document_id", F.explode("aliases").alias("alias")).distinct()
-    words = alias.select("document_id", "alias", F.array_distinct(F.regexp_extract_all(F.lower("alias"), F.lit("[a-z]+"), F.lit(0))).alias("t")).select("document_id", "alias", F.size("t").alias("need"), F.explode("t").alias("token"))
-    hits = _question_tokens(spark, sf_dir).join(words, "token").groupBy("question_id", "document_id", "alias", "need").agg(F.count("*").alias("n"))
-    return hits.filter("n = need").select("question_id", "document_id", "alias")
+    aliases = table(spark, sf_dir, "doc_catalog").select(F.col("document_id").alias("owner"), F.explode("aliases").alias("name"))
+    asked = table(spark, sf_dir, "questions").select(F.col("question_id").alias("id"), F.col("original_query").alias("text"))
+    return resolve.named_whole(asked, aliases).select(F.col("id").alias("question_id"), F.col("owner").alias("document_id"), F.col("name").alias("alias"))
 
 
 @query("""SELECT coalesce(c.document_id, r.document_id) AS document_id, CASE WHEN r.document_id IS NULL THEN 'no records' WHEN c.document_id IS NULL THEN 'not in catalog' WHEN NOT coalesce(c.inc, false) THEN 'left out' ELSE 'indexed' END AS state, coalesce(n, 0) AS records

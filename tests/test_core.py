@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__
 from chunkloom.functions import text as T
-from chunkloom.operators import context, lexical, sequences, vectors
+from chunkloom.operators import context, lexical, resolve, sequences, vectors
 from chunkloom.plans import registry
 from chunkloom.sources import tables
 
@@ -260,3 +260,10 @@ def test_values_carried_over_blocks_are_those_of_one_window(spark):
         for strict in (False, True):
             got = {r.ord: r.x for r in sequences.running(df, "key", block, ["seq", "ord"], F.col("v"), "x", total=total, strict=strict).collect()}
             assert got == {r.ord: r.x for r in df.withColumn("x", total("v").over(w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0))).collect()}
+
+
+def test_names_of_which_a_text_has_every_word(spark):
+    texts = spark.createDataFrame([(1, "The Foo guide, please"), (2, "guide"), (3, None), (4, "bar GUIDE of notes")], "id long, text string")
+    names = spark.createDataFrame([("a", "Foo guide"), ("b", "Bar Guide"), ("c", "guide"), ("c", "guide"), ("d", None), ("e", "资料"), ("f", "Foo notes")], "owner string, name string")
+    got = sorted((r.id, r.owner) for r in resolve.named_whole(texts, names).collect())
+    assert got == [(1, "a"), (1, "c"), (2, "c"), (4, "b"), (4, "c")]
