@@ -2,12 +2,11 @@
 
 Pigeonhole edit matching.  A passage is ``run`` words in a row of a test item.
 With an error budget of e edits it is split into e + 1 pieces, of which at least
-one must occur unchanged.  Pieces lie at fixed places of the item, one after
-another, and a passage is at least two pieces long, so every passage holds a
-whole piece wherever it begins.  The pieces' hashes are looked up at every word
-of every document; around each hit, Myers' bit-parallel algorithm gives the edit
-distance, in words, between the item's passages that hold the piece and the
-document.  Distance 0 is a passage copied word by word.
+one must occur unchanged.  A piece is indexed at every word of the item, so those
+of every passage are there, and their hashes are looked up at every word of every
+document.  A hit can be any of the e + 1 pieces of a passage; for each of these
+passages Myers' bit-parallel algorithm gives the edit distance, in words, to the
+document around the hit.  Distance 0 is a passage copied word by word.
 
 The items are few and fixed; they go to the tasks in blocks of bounded size, and
 the corpus is read once for each block, without a shuffle.
@@ -70,8 +69,8 @@ class Items:
         self.words = np.concatenate([words[k] for k in kept]) if kept else np.zeros(0, np.uint64)
         sizes = np.array([len(words[k]) for k in kept], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        owner = np.repeat(np.arange(len(kept)), sizes // self.piece)
-        place = np.concatenate([np.arange(s // self.piece) * self.piece for s in sizes]) if kept else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(kept)), sizes - self.piece + 1)
+        place = np.concatenate([np.arange(s - self.piece + 1) for s in sizes]) if kept else np.zeros(0, np.int64)
         hashes = np.zeros(len(owner), np.uint64)
         for k in range(self.piece):
             hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + self.words[self.starts[owner] + place + k]
@@ -120,9 +119,9 @@ class Items:
         best = np.full(len(at), self.run, np.int64)
         span = np.arange(self.run)
         stretch = np.arange(-self.budget, self.run + self.budget)
-        for start in (place - left, place - self.run + self.piece, place):  # the copied run, and the passages that begin or end with the piece
-            start = np.clip(start, 0, last - first - self.run)
-            rows = np.flatnonzero((start <= place) & (start + self.run >= place + self.piece))
+        for k in range(self.budget + 1):  # the passages of which the hit is a piece
+            start = place - k * self.piece
+            rows = np.flatnonzero((start >= 0) & (start + self.run <= last - first))
             pattern = self.words[(first + start)[rows, None] + span]
             where = (at - place + start)[rows, None] + stretch
             inside = (where >= low[rows, None]) & (where < high[rows, None])
@@ -151,8 +150,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, run: int = RUN, run_
     documents: doc_id long, text string.  items: item_id long, text string, lang
     string; passages of items in zh are ``run_cjk`` words.  distance is that of
     the best passage; longest_run the longest stretch around a piece copied word
-    by word.  A passage without edits is always found; one with edits where it
-    begins or ends with a piece.  Null and empty texts, and items shorter than a
+    by word.  Every passage within the budget is found, wherever it begins.  Null and empty texts, and items shorter than a
     passage, match nothing; repeated rows count once.
     """
     if run % (budget + 1) or run_cjk % (budget + 1) or budget < 1 or max(run, run_cjk) > 64:

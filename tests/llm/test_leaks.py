@@ -66,3 +66,20 @@ def test_one_edit_is_within_the_budget(spark):
     d = spark.createDataFrame([(k, " ".join(v)) for k, v in edits.items()], "doc_id long, text string")
     i = spark.createDataFrame([(1, " ".join(words), "en")], "item_id long, text string, lang string")
     assert {(r.doc_id, r.distance) for r in leaked_items(d, i).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_one_edit_is_found_wherever_the_passage_begins(spark):
+    docs, items = [], []
+    for lang, run in (("en", 16), ("zh", 32)):
+        words = [f"{lang}{k}" for k in range(3 * run)]
+        items.append((run, " ".join(words), lang))
+        for start in range(2 * run + 1):
+            for at in (0, 3, run // 2, run - 1):
+                passage = words[start : start + run]
+                edited = [[*passage[:at], "x", *passage[at + 1 :]], passage[:at] + passage[at + 1 :], [*passage[:at], "x", *passage[at:]]]
+                docs += [(len(docs) + k, " ".join(["a", *e, "b"]), run) for k, e in enumerate(edited)]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string, lang string")
+    rows = leaked_items(d, i).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, run) for k, _, run in docs}
+    assert all(r.distance <= 1 for r in rows)
