@@ -29,21 +29,32 @@ def usable(vectors: DataFrame, size: int = 64) -> DataFrame:
     return kept.groupBy("ord").agg(F.min("vector").alias("vector"))
 
 
-def top_in_scope(queries: DataFrame, candidates: DataFrame, scope: str, *, k: int) -> DataFrame:
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors, rounded to six decimals."""
+    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
+
+
+def top_in_scope(queries: DataFrame, candidates: DataFrame, scope: str, *, k: int, block: int = 4096) -> DataFrame:
     """(query_id, status, candidates, rank, id, score): the k most similar candidates of the query's scope.
 
     queries: query_id, scope column, vector; candidates: id, scope column,
     vector.  The scope is an equi-join key, so candidates outside never meet the
-    query.  A query without candidates keeps one row, with status no_candidates
-    and nulls.  Ties go to the smaller id; candidates are counted before the limit.
+    query.  A scope with more than ``block`` candidates is cut into blocks that
+    each query of it meets apart, so a hot scope is spread over tasks; the best of
+    each block are merged.  A query without candidates keeps one row, with status
+    no_candidates and nulls.  Ties go to the smaller id; candidates are counted
+    before the limit.
     """
-    both = queries.withColumnRenamed("vector", "q").join(candidates.withColumnRenamed("vector", "c"), scope)
-    score = F.round(dot(F.col("q"), F.col("c")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("c"), F.col("c"))), 6)
-    scored = both.select("query_id", "id", score.alias("score"))
-    counts = both.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    sizes = candidates.filter(F.col(scope).isNotNull()).groupBy(scope).agg(F.count("*").alias("candidates"))
+    blocks = F.ceil(F.coalesce("candidates", F.lit(1)) / block)
+    large = sizes.filter(F.col("candidates") > block)
+    placed = candidates.join(large, scope, "left").select(F.col(scope), "id", F.col("vector").alias("c"), F.pmod(F.xxhash64("id"), blocks).alias("__block"))
+    asked = queries.join(sizes, scope, "left")
+    spread = asked.filter("candidates IS NOT NULL").select("query_id", F.col(scope), F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("__block"))
+    scored = spread.join(placed, [scope, "__block"]).select("query_id", "id", cosine(F.col("q"), F.col("c")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    out = queries.select("query_id").join(counts, "query_id", "left").join(top, "query_id", "left")
+    out = asked.select("query_id", "candidates").join(top, "query_id", "left")
     return out.select("query_id", F.when(F.col("candidates").isNull(), "no_candidates").otherwise("ok").alias("status"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "rank", "id", "score")
 
 
@@ -58,14 +69,18 @@ def fused(first: DataFrame, second: DataFrame, keys: list[str], *, constant: int
     return both.select(*keys, "rank_1", "rank_2", F.round((part("rank_1") + part("rank_2")) / present, 9).alias("score"))
 
 
-def supplemented(hits: DataFrame, lexical: DataFrame, *, cap: int) -> DataFrame:
-    """Hits of a vector search, then the best lexical hits not among them, up to ``cap`` together; ranks go on.
+def supplemented(hits: DataFrame, lexical: DataFrame, *, cap: int, tie: str = "id") -> DataFrame:
+    """Hits of a vector search, then the best lexical hits not among them, up to ``cap`` together; ranks go on and no hit is moved.
 
-    hits: query_id, id, rank; lexical: query_id, id, score.  Lexical order is
-    score descending, id ascending.  Returns query_id, id, rank, source.
+    hits: query_id, id, rank; lexical: query_id, id, score, and the tie column.
+    Lexical order is score descending, tie ascending.  Returns query_id, id,
+    rank, source ('vector' or 'lexical') and lexical_rank, which is null for
+    vector hits that the lexical search has not.
     """
+    ranked = lexical.withColumn("lexical_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).select("query_id", "id", "lexical_rank")
     n = hits.groupBy("query_id").agg(F.max("rank").alias("n"))
-    extra = lexical.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    extra = extra.withColumn("rank", F.col("n") + F.row_number().over(order)).filter(F.col("rank") <= cap)
-    return hits.select("query_id", "id", "rank", F.lit("vector").alias("source")).unionByName(extra.select("query_id", "id", "rank", F.lit("lexical").alias("source")))
+    extra = ranked.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(n, "query_id", "left")
+    order = Window.partitionBy("query_id").orderBy("lexical_rank")
+    extra = extra.withColumn("rank", F.coalesce("n", F.lit(0)) + F.row_number().over(order)).filter(F.col("rank") <= cap)
+    first = hits.select("query_id", "id", "rank").join(ranked, ["query_id", "id"], "left")
+    return first.select("query_id", "id", "rank", F.lit("vector").alias("source"), "lexical_rank").unionByName(extra.select("query_id", "id", "rank", F.lit("lexical").alias("source"), "lexical_rank"))

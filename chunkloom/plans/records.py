@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import context, lexical, sequences, vectors
-from ..sources.tables import content_manifest, table
+from ..sources.tables import content_manifest, kept, table
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[0-9]+(?:\.[0-9]+)+|[a-z]+|[0-9]+')"
 BODY_SQL = "coalesce(CASE WHEN kind = 'visual_description' THEN retrieval_text ELSE text END, '')"
-CHANNEL_SQL = f"SELECT CASE WHEN kind = 'text' THEN 'body' ELSE 'visual' END AS channel, ord AS id, document_id, {TOKENS_SQL.format(BODY_SQL)} AS t FROM records"
-POSTED_SQL = "SELECT channel, id, len(t) AS len, term, count(*) AS tf FROM (SELECT channel, id, t, unnest(t) AS term FROM ch) GROUP BY ALL"
+CHANNEL_SQL = f"SELECT CASE WHEN kind = 'text' THEN 'body' ELSE 'visual' END AS channel, ord AS id, document_id, {TOKENS_SQL.format(BODY_SQL)} AS t FROM records WHERE NOT (kind = 'text' AND coalesce(reference_only, false))"
+RUN_SQL = "list_transform(range(1, len(t) - {0} + 2), lambda i: array_to_string(t[i:i + {0} - 1], ' '))"
+PHRASES_SQL = f"list_concat({RUN_SQL.format(2)}, list_concat({RUN_SQL.format(3)}, {RUN_SQL.format(4)}))"
 USABLE_SQL = "SELECT ord, min(vector) AS vector FROM {0} WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ord"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,13 +83,23 @@ def ngram_df(spark, sf_dir):
 
 
 _SEARCH = "SELECT question_id AS query_id, original_query AS query FROM questions WHERE question_id % 100 = 0 AND original_query IS NOT NULL"
-_BM25_SQL = f"""WITH ch AS ({CHANNEL_SQL}), q AS (SELECT query_id, unnest(list_distinct({TOKENS_SQL.format('query')})) AS term FROM ({_SEARCH})),
-p AS ({POSTED_SQL}), st AS (SELECT channel, count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM ch GROUP BY 1), d AS (SELECT channel, term, count(*) AS df FROM p GROUP BY 1, 2),
+
+
+def bm25_sql(search: str, scope: str = "") -> str:
+    """BM25 of the queries (query_id, query, and the scope) over the records: tokens and runs of up to four."""
+    on = f", {scope}" if scope else ""
+    return f"""WITH ch AS MATERIALIZED ({CHANNEL_SQL}), qt AS (SELECT query_id{on}, {TOKENS_SQL.format('query')} AS t FROM ({search})), q AS MATERIALIZED (SELECT query_id{on}, unnest(list_distinct(list_concat(t, {PHRASES_SQL}))) AS term FROM qt),
+p AS MATERIALIZED (SELECT channel, id, document_id, len, term, count(*) AS tf FROM (SELECT channel, id, document_id, len(t) AS len, unnest(t) AS term FROM ch) SEMI JOIN q USING (term) GROUP BY ALL UNION ALL
+SELECT channel, id, document_id, len, term, (length(padded) - length(replace(padded, ' ' || term || ' ', ''))) // (length(term) + 2) AS tf FROM (SELECT DISTINCT id, term FROM (SELECT id, unnest({PHRASES_SQL}) AS term FROM ch) SEMI JOIN q USING (term)) JOIN (SELECT channel, id, document_id, len(t) AS len, ' ' || array_to_string(t, ' ') || ' ' AS padded FROM ch) USING (id)),
+st AS (SELECT channel, count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM ch GROUP BY 1), d AS (SELECT channel, term, count(*) AS df FROM p GROUP BY 1, 2),
 w AS (SELECT channel, term, avgdl, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM d JOIN st USING (channel)),
-s AS (SELECT query_id, channel, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN w USING (term) JOIN p USING (channel, term) WHERE idf > 0 GROUP BY 1, 2, 3)
+s AS (SELECT query_id, channel, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM q JOIN w USING (term) JOIN p USING (channel, term{on}) WHERE idf > 0 GROUP BY 1, 2, 3)
 SELECT query_id, channel, id, score, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS rank FROM s"""
 
 
+_BM25_SQL = bm25_sql(_SEARCH)
+
+
 def _search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set of all searches: every question whose id is divisible by 100."""
     q = table(spark, sf_dir, "questions").filter("question_id % 100 = 0 AND original_query IS NOT NULL")
@@ -98,7 +109,11 @@ def _search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM ({_BM25_SQL}) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     """The ten best records by BM25 in each channel, against all records."""
-    return lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=10)
+    return _best(spark, sf_dir, 10)
+
+
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=k)
 
 
 _VEC_SQL = f"""WITH v AS (SELECT u.ord, r.document_id, u.vector FROM ({USABLE_SQL.format('body_vectors')}) u JOIN (SELECT ord, document_id FROM records) r USING (ord)),
@@ -128,33 +143,48 @@ def vec_norm_audit(spark, sf_dir):
     return vectors.audit(both)
 
 
-def _channel_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    best = lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=20)
-    link = _records(spark, sf_dir).select(F.col("ord").alias("id"), "document_id")
-    by_document = best.join(link, "id").groupBy("query_id", "channel", "document_id").agg(F.min("rank").alias("best"))
-    order = Window.partitionBy("query_id", "channel").orderBy("best")
-    ranked = by_document.withColumn("rank", F.row_number().over(order)).drop("best")
-    return tuple(ranked.filter(F.col("channel") == c).select("query_id", "document_id", "rank") for c in ("body", "visual"))
+_POOL_SQL = f"SELECT u.ord AS id, r.document_id, r.chunk_id, u.vector FROM ({USABLE_SQL.format('body_vectors')}) u JOIN records r USING (ord) WHERE r.kind = 'text' AND NOT coalesce(r.reference_only, false)"
+_VISUAL_SQL = f"SELECT u.ord AS query_id, r.document_id, {BODY_SQL} AS query, u.vector FROM ({USABLE_SQL.format('description_vectors')}) u JOIN records r USING (ord) WHERE u.ord % 100 = 0"
+_COSINE_SQL = "round(list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / sqrt(list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[]) * list_dot_product(b.vector::DOUBLE[], b.vector::DOUBLE[])), 6)"
+_TWO_SQL = f"""pool AS MATERIALIZED ({_POOL_SQL}), asked AS MATERIALIZED ({_VISUAL_SQL}),
+v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.query_id, b.id, {_COSINE_SQL} AS score FROM asked a JOIN pool b USING (document_id))),
+l AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, channel, id, score FROM ({bm25_sql('SELECT query_id, document_id, query FROM asked', 'document_id')})) JOIN (SELECT id, chunk_id FROM pool) USING (id) WHERE channel = 'body')"""
 
 
-@query(f"""WITH b AS (SELECT * FROM ({_BM25_SQL}) WHERE rank <= 20), d AS (SELECT query_id, channel, document_id, min(rank) AS best FROM b JOIN (SELECT ord AS id, document_id FROM records) USING (id) GROUP BY 1, 2, 3),
-k AS (SELECT query_id, channel, document_id, row_number() OVER (PARTITION BY query_id, channel ORDER BY best) AS rank FROM d)
-SELECT query_id, document_id, x.rank AS rank_1, y.rank AS rank_2, round((coalesce(1 / (60.0::DOUBLE + x.rank), 0) + coalesce(1 / (60.0::DOUBLE + y.rank), 0)) / ((x.rank IS NOT NULL)::INT + (y.rank IS NOT NULL)::INT), 9) AS score
-FROM (SELECT query_id, document_id, rank FROM k WHERE channel = 'body') x FULL JOIN (SELECT query_id, document_id, rank FROM k WHERE channel = 'visual') y USING (query_id, document_id)""")
+def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Visuals asked for (query_id, document_id, query, vector), the text records they may find, and both searches of the one pool: by vector and by words."""
+    records = _records(spark, sf_dir)
+    body = T.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_text"))
+    visuals = vectors.usable(table(spark, sf_dir, "description_vectors").filter("ord % 100 = 0")).join(records.select("ord", "document_id", body.alias("query")), "ord")
+    asked = kept(visuals.withColumnRenamed("ord", "query_id"))
+    rankable = records.filter("kind = 'text' AND NOT coalesce(reference_only, false)").select("ord", "document_id", "chunk_id")
+    pool = vectors.usable(table(spark, sf_dir, "body_vectors")).join(rankable, "ord").withColumnRenamed("ord", "id")
+    by_vector = vectors.top_in_scope(asked.drop("query"), pool.drop("chunk_id"), "document_id", k=20).filter("status = 'ok'").select("query_id", "id", "rank", "score")
+    texts = lexical.channels(records).filter("channel = 'body'")
+    by_words = lexical.bm25(asked.select("query_id", "query", "document_id"), texts, k=None, scope="document_id").join(pool.select("id", "chunk_id"), "id")
+    return asked, pool, by_vector, by_words.select("query_id", "id", "chunk_id", "score")
+
+
+@query(f"""WITH {_TWO_SQL} SELECT query_id, id, x.rank AS rank_1, y.rank AS rank_2, round((coalesce(1 / (60.0::DOUBLE + x.rank), 0) + coalesce(1 / (60.0::DOUBLE + y.rank), 0)) / ((x.rank IS NOT NULL)::INT + (y.rank IS NOT NULL)::INT), 9) AS score
+FROM (SELECT query_id, id, rank FROM v WHERE rank <= 20) x FULL JOIN (SELECT query_id, id, rank FROM l WHERE rank <= 20) y USING (query_id, id)""")
 def rrf_mean(spark, sf_dir):
-    """Documents of each search, fused over the body and the visual channel."""
-    body, visual = _channel_ranks(spark, sf_dir)
-    return vectors.fused(body, visual, ["query_id", "document_id"])
+    """Texts for each hundredth visual, within its document: the twenty best by vector and by words, fused."""
+    _, _, by_vector, by_words = _two_rankings(spark, sf_dir)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    words = by_words.withColumn("rank", F.row_number().over(order)).filter("rank <= 20").select("query_id", "id", "rank")
+    return vectors.fused(by_vector.drop("score"), words, ["query_id", "id"])
 
 
-@query(f"""WITH b AS (SELECT * FROM ({_BM25_SQL}) WHERE rank <= 20), h AS (SELECT query_id, id, rank FROM b WHERE channel = 'visual' AND rank <= 10), n AS (SELECT query_id, max(rank) AS n FROM h GROUP BY 1),
-x AS (SELECT b.query_id, b.id, coalesce(n.n, 0) + row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.id) AS rank FROM b LEFT JOIN n USING (query_id) WHERE channel = 'body')
-SELECT query_id, id, rank, 'vector' AS source FROM h UNION ALL SELECT query_id, id, rank, 'lexical' FROM x WHERE rank <= 20""")
+@query(f"""WITH {_TWO_SQL}, h AS (SELECT query_id, id, rank FROM v WHERE rank <= 10), n AS (SELECT query_id, max(rank) AS n FROM h GROUP BY 1),
+x AS (SELECT l.query_id, l.id, coalesce(n.n, 0) + row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank) AS rank, l.rank AS lexical_rank FROM l ANTI JOIN h ON h.query_id = l.query_id AND h.id = l.id LEFT JOIN n ON n.query_id = l.query_id),
+o AS (SELECT h.query_id, h.id, h.rank, 'vector' AS source, l.rank AS lexical_rank FROM h LEFT JOIN l USING (query_id, id) UNION ALL SELECT query_id, id, rank, 'lexical', lexical_rank FROM x WHERE rank <= 15)
+SELECT o.query_id, o.id, o.rank, o.source, o.lexical_rank, {_COSINE_SQL} AS score FROM o JOIN asked a ON a.query_id = o.query_id JOIN pool b ON b.id = o.id""")
 def hybrid_supplement(spark, sf_dir):
-    """Ten hits of a first search, supplemented by another ranking up to twenty; ranks go on and nothing is reordered."""
-    best = lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=20)
-    hits = best.filter("channel = 'visual' AND rank <= 10").select("query_id", "id", "rank")
-    return vectors.supplemented(hits, best.filter("channel = 'body'").select("query_id", "id", "score"), cap=20)
+    """The ten texts most similar to each hundredth visual by vector, within its document, supplemented up to fifteen by the best of the same pool by words; ranks go on, and every row has its cosine."""
+    asked, pool, by_vector, by_words = _two_rankings(spark, sf_dir)
+    both = vectors.supplemented(by_vector.filter("rank <= 10"), by_words, cap=15, tie="chunk_id")
+    both = both.join(asked.select("query_id", F.col("vector").alias("a")), "query_id").join(pool.select("id", F.col("vector").alias("b")), "id")
+    return both.select("query_id", "id", "rank", "source", "lexical_rank", vectors.cosine(F.col("a"), F.col("b")).alias("score"))
 
 
 @query("""SELECT q.question_id, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'no_candidates' ELSE 'ok' END AS status FROM questions q LEFT JOIN (SELECT document_id, count(*) AS n FROM records WHERE kind = 'text' AND NOT reference_only GROUP BY 1) r USING (document_id)""")
@@ -192,13 +222,10 @@ def label_parse(spark, sf_dir):
 
 @query("""SELECT document_id, count(*) FILTER (kind = 'text' AND NOT coalesce(reference_only, false)) AS body, count(*) FILTER (kind = 'visual_description') AS visual, count(*) FILTER (kind = 'text' AND reference_only) AS reference_only FROM records GROUP BY 1""")
 def ref_only_antijoin(spark, sf_dir):
-    """Rankable text, visual and readable-only records of each document; the readable-only ones leave by an anti-join."""
-    rows = _records(spark, sf_dir).select("ord", "document_id", "kind", "reference_only")
-    only = rows.filter("kind = 'text' AND reference_only").select("ord").withColumn("one", F.lit(1))
-    marked = rows.join(only, "ord", "left")
+    """Rankable text, visual and readable-only records of each document."""
     count = lambda c: F.count(F.when(c, 1))
-    text = F.col("kind") == "text"
-    return marked.groupBy("document_id").agg(count(text & F.col("one").isNull()).alias("body"), count(F.col("kind") == "visual_description").alias("visual"), count(text & F.col("one").isNotNull()).alias("reference_only"))
+    text, only = F.col("kind") == "text", F.coalesce("reference_only", F.lit(False))
+    return _records(spark, sf_dir).groupBy("document_id").agg(count(text & ~only).alias("body"), count(F.col("kind") == "visual_description").alias("visual"), count(text & only).alias("reference_only"))
 
 
 _CAPTIONS = "SELECT DISTINCT chunk_id AS owner, unnest(caption_chunk_ids) AS caption FROM records WHERE kind <> 'text'"
@@ -380,7 +407,7 @@ def pack_greedy(spark, sf_dir):
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=20).filter("channel = 'body'")
+    best = _best(spark, sf_dir, 20).filter("channel = 'body'")
     size = _records(spark, sf_dir).select(F.col("ord").alias("id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("cost"))
     return best.join(size, "id").select(F.col("query_id").alias("case_id"), "rank", "id", "cost")
 
@@ -417,7 +444,7 @@ def rerank_input(spark, sf_dir):
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=10)
+    best = _best(spark, sf_dir, 10)
     hits = best.join(_records(spark, sf_dir).select(F.col("ord").alias("id"), "chunk_id"), "id")
     seen = hits.groupBy("query_id", "chunk_id").agg(F.min(F.col("rank") * 2 + (F.col("channel") == "visual").cast("int")).alias("seen"), F.count("*").alias("hits"))
     return seen.withColumn("first_seen", F.row_number().over(Window.partitionBy("query_id").orderBy("seen", "chunk_id"))).drop("seen")
@@ -430,7 +457,7 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def rerank_order(spark, sf_dir):
     """Candidates reordered by a pair score (shared tokens stand in for a model), ties as first seen."""
     body = T.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_text"))
-    candidates = _candidates(spark, sf_dir)
+    candidates = kept(_candidates(spark, sf_dir))
     wanted = candidates.select("chunk_id").distinct()
     texts = _records(spark, sf_dir).join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min_by(body, "ord").alias("body"))
     pairs = candidates.join(_search_queries(spark, sf_dir).select("query_id", "query"), "query_id").join(texts, "chunk_id")
@@ -486,9 +513,8 @@ def vec_topk_by_label(spark, sf_dir):
 p AS (SELECT id, ' ' || array_to_string(t, ' ') || ' ' AS padded FROM ch) SELECT query_id, phrase, id, ((length(padded) - length(replace(padded, ' ' || phrase || ' ', ''))) // (length(phrase) + 2))::INT AS tf FROM w JOIN p ON contains(padded, ' ' || phrase || ' ')""")
 def ngram_tf(spark, sf_dir):
     """How often each two neighbouring words of a search stand together in a record, counted without overlap; records are found by an equi-join on pairs of words."""
-    t = T.tokens(F.col("query"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))
-    wanted = _search_queries(spark, sf_dir).select("query_id", t.alias("t")).filter(F.size("t") >= 2).select("query_id", F.explode(F.array_distinct(pairs)).alias("phrase"))
+    pairs = F.array_distinct(lexical.runs(T.tokens(F.col("query")), 2))
+    wanted = _search_queries(spark, sf_dir).select("query_id", F.explode(pairs).alias("phrase"))
     return lexical.phrase_frequency(lexical.channels(_records(spark, sf_dir)), wanted)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); in local mode, where there is but one machine, a temporary one if none is set."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not there:
+        app = spark.sparkContext.applicationId
+        there = _local[app] = _local.get(app) or tempfile.mkdtemp(prefix="spark-")
+    return there
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows as a table written into the shared folder: computed once, however often they are used, and safe from lost executors."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/chunkloom-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType = CHUNK) -> DataFrame:
     """Records of JSON lines; a line that does not parse is an error, blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-
-def _shared(spark: SparkSession) -> str:
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+from ..sources.tables import shared_folder
 
 
 def arriving(spark: SparkSession, path: str, files_each: int | None = None) -> DataFrame:
@@ -28,7 +21,7 @@ def arriving(spark: SparkSession, path: str, files_each: int | None = None) -> D
 
 def drained(out: DataStreamWriter, spark: SparkSession, schema) -> DataFrame:
     """Runs a stream until what is there is read, and returns the table it wrote in the shared folder."""
-    path = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = out.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/rows")

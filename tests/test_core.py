@@ -1,4 +1,5 @@
 import importlib.util
+import math
 import random
 import re
 import sys
@@ -97,6 +98,8 @@ def test_supplement_appends_and_never_reorders(spark):
     more = spark.createDataFrame([(1, "c2", 9.0), (1, "c9", 8.0), (1, "c5", 7.0), (1, "c7", 6.0), (2, "c1", 1.0)], "query_id long, id string, score double")
     got = [(r.query_id, r.id, r["rank"]) for r in vectors.supplemented(hits, more, cap=4).orderBy("query_id", "rank").collect()]
     assert got == [(1, "c1", 1), (1, "c2", 2), (1, "c9", 3), (1, "c5", 4), (2, "c1", 1)]
+    ranks = {(r.query_id, r.id): (r.source, r.lexical_rank) for r in vectors.supplemented(hits, more, cap=4).collect()}
+    assert ranks == {(1, "c1"): ("vector", None), (1, "c2"): ("vector", 1), (1, "c9"): ("lexical", 2), (1, "c5"): ("lexical", 3), (2, "c1"): ("lexical", 1)}
 
 
 def test_greedy_skips_and_goes_on(spark):
@@ -136,9 +139,41 @@ def test_interval_containment_over_cells(spark):
 def test_bm25_drops_terms_of_half_the_records(spark):
     texts = spark.createDataFrame([("body", k, "d", t) for k, t in enumerate(["red fox", "red dog", "red cat", "red"])], "channel string, id int, document_id string, body string")
     queries = spark.createDataFrame([(1, "red red fox")], "query_id long, query string")
-    got = lexical.bm25(queries, texts, k=10).collect()
-    assert [r.id for r in got] == [0]
-    assert got[0].score == pytest.approx(0.847298 * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.75)), abs=1e-5)
+    one = 0.847298 * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / 1.75))
+    got = lexical.bm25(queries, texts, k=10, longest=1).collect()
+    assert [(r.id, r.score) for r in got] == [(0, pytest.approx(one, abs=1e-5))]
+    got = lexical.bm25(queries, texts, k=10).collect()  # the run "red fox" is a term too
+    assert [(r.id, r.score) for r in got] == [(0, pytest.approx(2 * one, abs=1e-5))]
+
+
+def test_bm25_of_runs_and_scopes_equals_the_formula(spark):
+    rng = random.Random(5)
+    bodies = [(("body", "visual")[k % 2], k, f"d{k % 3}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for k in range(60)]
+    asked = [(1, "a b c d a b", "d0"), (2, "h g", "d1"), (3, "", "d1"), (4, "q", "d2"), (5, None, "d0")]
+    terms = lambda t: {" ".join(t[i : i + n]) for n in range(1, 5) for i in range(len(t) - n + 1)}
+    tf = lambda t, x: t.count(x) if " " not in x else f" {' '.join(t)} ".count(f" {x} ")
+    want = {}
+    for channel in ("body", "visual"):
+        own = [(k, d, b.split()) for c, k, d, b in bodies if c == channel]
+        mean = sum(len(t) for _, _, t in own) / len(own)
+        for q, text, scope in asked:
+            for x in terms((text or "").split()):
+                df = sum(tf(t, x) > 0 for _, _, t in own)
+                idf = math.log((len(own) - df + 0.5) / (df + 0.5))
+                for k, d, t in own:
+                    if idf > 0 and d == scope and (n := tf(t, x)):
+                        want[q, k] = want.get((q, k), 0) + idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) / mean))
+    texts = spark.createDataFrame(bodies, "channel string, id int, document_id string, body string")
+    got = lexical.bm25(spark.createDataFrame(asked, "query_id long, query string, document_id string"), texts, k=None, scope="document_id").collect()
+    assert {(r.query_id, r.id): r.score for r in got} == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and len(want) > 20
+
+
+def test_scoped_search_in_blocks_equals_the_plain_one(spark):
+    rng = random.Random(7)
+    q = spark.createDataFrame([(k, rng.choice(["a", "a", "b", "c", None]), [rng.gauss(0, 1) for _ in range(4)]) for k in range(12)], "query_id long, s string, vector array<float>")
+    c = spark.createDataFrame([(k, rng.choice(["a", "a", "a", "b", None]), [rng.gauss(0, 1) for _ in range(4)]) for k in range(200)], "id long, s string, vector array<float>")
+    rows = lambda **o: {tuple(r) for r in vectors.top_in_scope(q, c, "s", k=3, **o).collect()}
+    assert rows(block=7) == rows() and any(r[1] == "no_candidates" for r in rows())
 
 
 def test_empty_groups_stay(spark):
