@@ -165,7 +165,7 @@ def test_bm25_of_runs_and_scopes_equals_the_formula(spark):
                         want[q, k] = want.get((q, k), 0) + idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) / mean))
     texts = spark.createDataFrame(bodies, "channel string, id int, document_id string, body string")
     got = lexical.bm25(spark.createDataFrame(asked, "query_id long, query string, document_id string"), texts, k=None, scope="document_id").collect()
-    assert {(r.query_id, r.id): r.score for r in got} == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and len(want) > 20
+    assert {(r.query_id, r.id): r.score for r in got} == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and len(want) > 10
 
 
 def test_scoped_search_in_blocks_equals_the_plain_one(spark):
