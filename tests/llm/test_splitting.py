@@ -48,3 +48,14 @@ def test_table(spark):
         assert all(long[a:b] == c for a, b, c in zip(f.char_start, f.char_end, f.content)) and (f.boundary.iloc[:-1] == "paragraph").all()
     assert list(out[out.key == "a"].section_path.iloc[0]) == ["S"]
     assert split_oversized(df.limit(0), F.col("key"), F.col("id"), F.col("t"), F.col("path")).count() == 0
+
+
+def test_a_deep_valley_at_a_paragraph_beats_a_heading_inside_a_topic():
+    topic = lambda w: " ".join(f"{w}{k % 7}" for k in range(70)) + "."
+    text = f"{topic('a')}\n\n{topic('a')}\n\n{topic('b')}\n\n# More\n\n{topic('b')}\n\n{topic('b')}\n\n{topic('b')}"
+    valley, heading = text.index("b0"), text.index("# More")
+    limit = heading + 40
+    assert valley > limit // 2 and boundaries(text)[valley] == "paragraph"
+    assert check(text, limit, 0)[0][1:] == (valley, "paragraph")
+    plain = f"{topic('a')}\n\n{topic('a')}\n\n{topic('a')}\n\n# More\n\n{topic('a')}\n\n{topic('a')}"
+    assert check(plain, plain.index("# More") + 40, 0)[0][2] == "heading"
