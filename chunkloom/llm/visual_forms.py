@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import ship, table, written
 
 # Letters of other alphabets, and the Latin letters of the same shape.
 SAME_SHAPE = {
     "cyrillic": ("аеорсухѕіјһԁԛԝѵАВЕЅІЈКМНОРСТХѴԌԚԜ", "aeopcyxsijhdqwvABESIJKMHOPCTXVGQW"),
     "cyrillic capital u": ("У", "Y"),
-    "greek": ("οννιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovviρABEZHIKMNOPTYX".replace("ρ", "p")),
+    "greek": ("οννιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovvipABEZHIKMNOPTYX"),
     "armenian": ("օոսցՕՏԼ", "onugOSL"),
     "latin": ("ɡɑıȷ", "gaij"),
     "cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"),
@@ -99,15 +99,26 @@ def visual_form(text: str | None, *, fold: bool = False) -> str | None:
     return visual_forms([text], fold=fold)[0]
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in batches:
-        values = [v if isinstance(v, str) else None for v in f["value"]]
-        yield pd.DataFrame({"value": values, "form": visual_forms(values), "folded": visual_forms(values, fold=True)}, dtype=object)
+def _forms(fold: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            values = [v if isinstance(v, str) else None for v in f["value"]]
+            yield pd.DataFrame({"value": values, "form": visual_forms(values)} | ({"folded": visual_forms(values, fold=True)} if fold else {}), dtype=object)
 
+    return run
 
-def distinct_forms(values: DataFrame, column: str) -> DataFrame:
-    """(value, form, folded) of each distinct non-null value of a column; nulls of form show nothing."""
-    return values.select(F.col(column).alias("value")).filter("value is not null").distinct().mapInPandas(_forms, "value string, form string, folded string")
+
+def distinct_forms(values: DataFrame, column: str, *, fold: bool = True) -> DataFrame:
+    """(value, form, folded) of each distinct non-null value of a column; nulls of form show nothing.
+
+    Each value is normalised once: the result is written and read again, however
+    often it is used.  fold: with the column folded.
+    """
+    spark = values.sparkSession
+    ship(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the work is in the values, so they are spread whatever their bytes
+    distinct = values.select(F.col(column).alias("value")).filter("value is not null").distinct().repartition(tasks, F.xxhash64("value"))
+    return written(distinct.mapInPandas(_forms(fold), "value string, form string" + ", folded string" * fold))
 
 
 def with_visual_form(rows: DataFrame, column: str, *, form: str = "visual_form", folded: str = "visual_folded") -> DataFrame:
@@ -128,7 +139,7 @@ def same_look_pairs(rows: DataFrame, key: str, column: str) -> DataFrame:
     a value repeated in many rows is compared once.  Null keys, null values and
     values that show nothing take no part; repeated rows count once.
     """
-    forms = distinct_forms(rows, column).filter("form is not null").select("value", "form")
+    forms = distinct_forms(rows, column, fold=False).filter("form is not null")
     some = forms.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
     forms = forms.join(some, "form")
     spelled = forms.withColumnRenamed("value", "x").join(forms.withColumnRenamed("value", "y"), "form").filter("x < y").select("x", "y")
