@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import table
+from .shared import ship, table
 from .words import pieces_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -123,6 +123,7 @@ def byte_pair_ids(texts: DataFrame, *, vocabulary: str = VOCABULARY, pattern: st
     are ordinary text.  vocabulary: path of a rank file on the driver; its bytes
     are broadcast, at most 64 MB.
     """
+    ship(texts.sparkSession)
     with open(vocabulary, "rb") as f:
         data = f.read(MOST_BYTES + 1)
     if len(data) > MOST_BYTES:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import language, table
+from .shared import language, ship, table
 from .words import Words, pieces_of
 
 RUN, RUN_CJK = 16, 32
@@ -103,8 +103,6 @@ class Items:
         item, place = self.owner[entry], self.place[entry]
         first, last = self.starts[item], self.starts[item + 1]
         low, high = docs.offsets[doc], docs.offsets[doc + 1]
-
-
         left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for count, step in ((left, -1), (right, 1)):
             going = np.arange(len(at))
@@ -155,6 +153,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, run: int = RUN, run_
     """
     if run % (budget + 1) or run_cjk % (budget + 1) or budget < 1 or max(run, run_cjk) > 64:
         raise ValueError("the budget plus one must divide the passages' lengths, of at most 64 words, into at least two pieces")
+    ship(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     wanted = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     given = items.filter("item_id is not null and text is not null").select("item_id", "text", (language(F.col("lang")) == "zh").alias("cjk"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import language, table
+from .shared import language, ship, table
 from .words import Words, mix, pieces_of
 
 GRADES = 5
@@ -245,6 +245,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, most_graded: int
     model = fit_level_model(documents, labels, most_graded=most_graded)
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return documents.filter("doc_id is not null").select("doc_id", "text").mapInPandas(_score(shared), schema)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import language, table
+from .shared import language, ship, table
 from .words import pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -190,6 +190,7 @@ def record_tokens(records: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFr
     no part; null and empty texts have 0 tokens; null and unknown languages are
     'und'.
     """
+    ship(records.sparkSession)
     trie = records.sparkSession.sparkContext.broadcast(DoubleArray(piece_scores(vocabulary)))
     rows = records.filter("chunk_id is not null").select("chunk_id", F.coalesce("ord", F.lit(2**62)).alias("ord"), "document_id", language(F.col("lang")).alias("language"), "text")
     counted = rows.mapInPandas(_counts(trie, vocabulary), "chunk_id string, ord long, document_id string, language string, tokens long")
