@@ -7,10 +7,20 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms of tokens, labels and citation marks, and what an answer's text is changed by.
 TOKEN = r"[0-9]+(?:\.[0-9]+)+|[a-z]+|[0-9]+"
-LATIN_LABEL = r"(?iU)\b(fig(?:ure|\.)?|tab(?:le|\.)?)\s*([0-9]+|[ivxlcdm]+)\b"
+LATIN_LABEL = r"(?iU)\b(fig(?:ure)?|tab(?:le)?)\.?\s*([0-9]+|[ivxlcdm]+)\b"
 CJK_LABEL = r"(?U)([图表])\s*([0-9]+)"
-CITATION = r"\[\s*S[0-9]+(?:\s*,\s*S[0-9]+)*\s*\]"
+CITATION = r"\[\s*S[0-9]+(?:\s*[,，、;；]\s*S[0-9]+)*\s*\]"
+SNAKE = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+(?![A-Za-z0-9_])"
+DOTTED = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9]*\.[A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9_])"
+CAMEL = r"(?<![A-Za-z0-9_])[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]+(?![A-Za-z0-9_])"
+QUOTED_NAME = r"[`'\"]([A-Za-z_][A-Za-z0-9_.]*)[`'\"]"
+NEGATION = r"(?i)(?<![A-Za-z0-9_])(?:not|no|never|without|except|unless|neither|nor)(?![A-Za-z0-9_])"
+COMPARISON = r"(?i)(?<![A-Za-z0-9_])(?:vs\.?|versus|compared|compares|compare|comparison|than|more|less|least|most|difference)(?![A-Za-z0-9_])"
+ORDER = r"(?i)(?<![A-Za-z0-9_])(?:first|second|third|then|after|before|next|previous|step|steps|order|sequence|final)(?![A-Za-z0-9_])"
+MARKDOWN_SPECIAL = r"([\\`*_\[\]<>#|!~])"
+WORD_START = r"[A-Za-z0-9_]"
 
 
 def retrievable(kind: Column, text: Column, retrieval_text: Column) -> Column:
@@ -75,19 +85,20 @@ def citation_ids(text: Column) -> Column:
 
 
 def code_identifiers(text: Column) -> Column:
-    """snake_case, dotted.names and CamelCase words, each once, by kind and then in order."""
-    patterns = [r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b", r"\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"]
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
+    """snake_case, dotted.names, CamelCase words and single names between quotes, each once, by kind and then in order."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (SNAKE, DOTTED, CAMEL)]
+    return F.array_distinct(F.concat(*found, F.regexp_extract_all(text, F.lit(QUOTED_NAME), F.lit(1))))
 
 
 def escaped(text: Column) -> Column:
-    """Markdown's special characters behind a backslash."""
-    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+!|>~-])", r"\\$1")
+    """A text on one line, Markdown's special characters behind a backslash."""
+    return F.regexp_replace(squeezed(text), MARKDOWN_SPECIAL, r"\\$1")
 
 
 def shown(answer: Column) -> Column:
-    """An answer as shown: without images and citation marks, blanks before stops removed."""
-    return squeezed(reduce(lambda t, pr: F.regexp_replace(t, *pr), [(r"!\[[^\]]*\]\([^)]*\)", ""), (CITATION, ""), (r"[ \t]+([.,;:!?])", "$1")], answer))
+    """An answer as shown: without images and single citation marks (before a word for a picture or text they become words), blanks before stops removed."""
+    steps = [(r"!\[[^\]]*\]\([^\n]*?\)", ""), (r"(?:\[S[0-9]+\]\s*)+(的(?:原图|图表|正文|内容|描述))", "对应证据$1"), (r"\[S[0-9]+\]", ""), (r"[ \t]+([，。；：,.!?])", "$1")]
+    return F.regexp_replace(reduce(lambda t, pr: F.regexp_replace(t, *pr), steps, answer), r"(?U)^\s+|\s+$", "")
 
 
 def safe_url(url: Column) -> Column:
@@ -149,14 +160,27 @@ def evidence_words(text: Column) -> Column:
 
 
 def unquoted(text: Column) -> Column:
-    """A text without its quoted parts."""
-    return F.regexp_replace(text, "\"[^\"]*\"|“[^”]*”|《[^》]*》|«[^»]*»", "")
+    """A text with a blank for each phrase between single quotes and each title."""
+    return F.regexp_replace(F.regexp_replace(text, r"'[^'\n]{1,120}'", " "), "《[^》]*》", " ")
 
 
 def completeness_hints(text: Column) -> Column:
     """Which of negation, comparison and order a text has, as a comma list."""
-    flag = lambda name, p: F.when(F.lower(text).rlike(p), name)
-    return F.concat_ws(",", flag("negation", r"\b(not|no|never|without|nicht|kein|ohne|sans|sin)\b|没|不"), flag("comparison", r"\b(than|versus|vs|difference|compare|compara|gegenüber)\b|比|不同"), flag("order", r"\b(before|after|first|last|vor|nach|avant|après|antes|después)\b|之前|之后"))
+    flag = lambda name, p: F.when(text.rlike(p), name)
+    return F.concat_ws(",", flag("negation", NEGATION), flag("comparison", COMPARISON), flag("order", ORDER))
+
+
+def occurrences(text: Column, span: Column) -> Column:
+    """Where a span stands in a text, from 1, with no letter, digit or underscore of ASCII beside it; occurrences may overlap. Nulls give null, an empty span none."""
+    there = lambda p: F.substr(text, p, F.length(span)) == span
+    free = lambda p: ~F.substr(text, p, F.lit(1)).rlike(WORD_START)
+    places = F.filter(F.sequence(F.lit(1), F.length(text)), lambda p: there(p) & ((p == 1) | free(p - 1)) & free(p + F.length(span)))
+    return F.when((F.length(span) > 0) & (F.length(text) > 0), places).when(text.isNotNull() & span.isNotNull(), F.expr("cast(array() as array<int>)"))
+
+
+def words(text: Column) -> Column:
+    """Words in order: runs of letters and digits of the lower-cased text, each character U+4E00 to U+9FFF a word of its own."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"([\u4e00-\u9fff])", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def masked(text: Column, limit: int = 500) -> Column:

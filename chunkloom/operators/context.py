@@ -67,19 +67,61 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def contained(texts: DataFrame, least: int = 20) -> DataFrame:
-    """(inner, outer): texts all of whose lines of at least ``least`` characters stand in another text, by the first document of each.
+def contained(texts: DataFrame, gram: int = 3) -> DataFrame:
+    """(inner, outer): texts that stand whole inside another text, by the smallest id of each.
+
+    texts: id, text.  Copies are one text.  A text of fewer than gram + 4 words
+    is not looked for (a few words stand in many texts, an empty one in all); a
+    text may begin and end inside a word of the outer one, so its first and last
+    two words do not count.  Any run of ``gram`` of the words between is in the
+    outer text too: the inner text meets others by the run that the fewest texts
+    have, and ``contains`` decides.
+    """
+    first = texts.filter("text is not null").groupBy(F.sha2("text", 256).alias("same")).agg(F.min(F.struct("id", "text")).alias("r")).select("r.id", "r.text")
+    words = first.select("id", T.words(F.col("text")).alias("w"))
+    runs = lambda lo, hi: F.array_distinct(F.transform(F.sequence(lo, hi), lambda k: F.xxhash64(F.slice("w", k, F.lit(gram)))))
+    n = F.size("w")
+    all_runs = words.filter(n >= gram).select("id", F.explode(runs(F.lit(1), n - (gram - 1))).alias("run"))
+    own_runs = words.filter(n >= gram + 4).select("id", F.explode(runs(F.lit(3), n - (gram + 1))).alias("run"))
+    spread = all_runs.groupBy("run").agg(F.count("*").alias("texts")).filter("texts > 1")
+    rarest = own_runs.join(spread, "run", "left").groupBy(F.col("id").alias("inner")).agg(F.min(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "run")).alias("r")).filter("r.texts > 1").select("inner", F.col("r.run").alias("run"))
+    pairs = rarest.join(all_runs.select(F.col("id").alias("outer"), "run"), "run").filter("inner <> outer").select("inner", "outer")
+    both = pairs.join(first.select(F.col("id").alias("inner"), F.col("text").alias("a")), "inner").join(first.select(F.col("id").alias("outer"), F.col("text").alias("b")), "outer")
+    return both.filter((F.length("a") < F.length("b")) & F.contains(F.col("b"), F.col("a"))).select("inner", "outer")
+
+
+def merged(rows: DataFrame, key: str, order: str, identity: str) -> DataFrame:
+    """(kept, chunks, rows, chunk_ids) of the groups with more than one row: first by key, then by identity.
+
+    Of a key delivered again the first row by order counts; of the keys with one
+    identity the first is kept, with the names of all.
+    """
+    first = rows.groupBy(key).agg(F.min(F.struct(order, identity)).alias("r"), F.count("*").alias("n"))
+    groups = first.groupBy(F.col(f"r.{identity}").alias("identity")).agg(F.min(f"r.{order}").alias("kept"), F.count("*").alias("chunks"), F.sum("n").alias("rows"), F.array_join(F.array_sort(F.collect_set(key)), ",").alias("chunk_ids"))
+    return groups.filter("rows > 1").select("kept", "chunks", "rows", "chunk_ids")
+
+
+def pair_overlaps(items: DataFrame, least: int = 20) -> DataFrame:
+    """(case_id, first, second, exact, contained, shared_lines): pairs of a case that repeat each other.
 
-    Copies are one text.  A text that contains another holds its rarest line, so
-    only these lines are joined; the other lines are then counted for the pairs found.
+    items: case_id, rank, id, text, with a bounded number of ranks a case.
     """
     lines = F.array_distinct(F.filter(F.transform(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least))
-    sets = texts.filter("text is not null").select("doc_id", F.array_sort(F.transform(lines, lambda x: F.sha2(x, 256))).alias("set")).filter(F.size("set") > 0)
-    first = sets.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    each = first.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("line"))
-    spread = each.groupBy("line").agg(F.count("*").alias("texts"))
-    rarest = each.join(spread, "line").groupBy("doc_id", "n").agg(F.min(F.struct("texts", "line")).alias("r")).filter("r.texts > 1").select(F.col("doc_id").alias("inner"), "n", F.col("r.line").alias("line"))
-    pairs = rarest.join(each.select(F.col("doc_id").alias("outer"), F.col("n").alias("m"), "line"), "line").filter("inner <> outer AND n < m").select("inner", "outer", "n")
-    mine = pairs.join(each.select(F.col("doc_id").alias("inner"), "line"), "inner")
-    hits = mine.join(each.select(F.col("doc_id").alias("outer"), "line"), ["outer", "line"]).groupBy("inner", "outer", "n").agg(F.count("*").alias("hits"))
-    return hits.filter("hits = n").select("inner", "outer")
+    lined = items.select("case_id", "rank", "id", "text", lines.alias("lines"))
+    left = lined.select("case_id", F.col("rank").alias("r"), F.col("id").alias("first"), F.col("text").alias("a"), F.col("lines").alias("p"))
+    right = lined.select("case_id", F.col("rank").alias("s"), F.col("id").alias("second"), F.col("text").alias("b"), F.col("lines").alias("q"))
+    exact = F.col("a") == F.col("b")
+    inside = F.contains(F.col("a"), F.col("b")) | F.contains(F.col("b"), F.col("a"))
+    pairs = left.join(right, "case_id").filter("r < s").select("case_id", "first", "second", exact.alias("exact"), (~exact & inside).alias("contained"), F.when(exact, 0).otherwise(F.size(F.array_intersect("p", "q"))).alias("shared_lines"))
+    return pairs.filter("exact OR contained OR shared_lines > 0")
+
+
+def packed_all(cases: DataFrame, items: DataFrame, budget: int) -> DataFrame:
+    """(case_id, items, cost, status): every item of each case, or none: 'fits', 'refused', or 'envelope over budget' where the case alone is too much.
+
+    cases: case_id, base (the cost without items); items: case_id, cost.
+    """
+    sums = items.groupBy("case_id").agg(F.count("*").alias("items"), F.sum("cost").alias("cost"))
+    total = F.col("base") + F.coalesce("cost", F.lit(0))
+    status = F.when(F.col("base") > budget, "envelope over budget").when(total > budget, "refused").otherwise("fits")
+    return cases.join(sums, "case_id", "left").select("case_id", F.coalesce("items", F.lit(0)).alias("items"), total.alias("cost"), status.alias("status"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS = "[a-z]+"
+from ..functions import text as T
 
 
 def _words(column: str):
-    return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(WORDS), F.lit(0)))
+    return F.array_distinct(T.words(F.col(column)))
 
 
 def named_whole(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def named_whole(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     texts: id, text; names: owner, name.  A name is joined by its rarest word
     only, so words that most names share never meet all texts; the other words
-    are then looked up in the text's own.  Names without Latin words match nothing.
+    are then looked up in the text's own.  Names without words match nothing.
     """
     split = names.select("owner", "name").filter("name is not null").distinct().withColumn("words", _words("name")).filter(F.size("words") > 0)
     each = split.select("owner", "name", F.explode("words").alias("word"))

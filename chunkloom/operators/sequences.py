@@ -14,10 +14,15 @@ def exploded_paragraphs(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph")).withColumn("n", F.col("n") + 1)
 
 
-def heading_groups(parts: DataFrame) -> DataFrame:
-    """Paragraphs with the number of the heading group they stand in; 0 before the first heading."""
+def heading_groups(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, chars, grp): the paragraphs of each text with the number of the heading group they stand in; 0 before the first heading.
+
+    Only places, lengths and flags are shuffled, no text.
+    """
+    marks = F.transform(T.paragraphs(F.col("text")), lambda p: F.struct(F.length(p).alias("chars"), T.is_heading(p).cast("int").alias("head")))
+    parts = texts.select("doc_id", F.posexplode(marks).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("n"), "p.chars", "p.head")
     so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return parts.withColumn("grp", F.sum(T.is_heading(F.col("paragraph")).cast("int")).over(so_far))
+    return parts.withColumn("grp", F.sum("head").over(so_far)).drop("head")
 
 
 BLOCK = 4096
@@ -98,29 +103,33 @@ def merged_thin(texts: DataFrame, least: int = 220) -> DataFrame:
     return folded.select("doc_id", F.posexplode(F.when(F.col("f.open").isNotNull() & (F.col("f.open") < least) & (F.size("f.done") > 0), back).otherwise(last)).alias("n", "chars")).withColumn("n", F.col("n") + 1)
 
 
-def overlapping_spans(texts: DataFrame, *, limit: int, overlap: int) -> DataFrame:
-    """(id, start, stop): token spans of at most ``limit`` tokens, by halving; halves share at most ``overlap`` tokens.
+def halved(n: Column, limit: int, overlap: int) -> Column:
+    """Spans (start, stop) of at most ``limit`` of n tokens, by halving; halves share at most ``overlap`` tokens.
 
-    texts: id, n (the number of tokens).  A span of m tokens is cut at its
-    middle and widened by half the overlap on both sides, less where it would
-    not shrink.  Each level of halving is a projection of the level before, so
-    only spans still too long are touched again.
+    A span of m tokens is cut at its middle and widened by half the overlap on
+    both sides, less where it would not shrink.  One fold in the row: each round
+    cuts what is still too long, and there are as many rounds as n has binary
+    digits, and a few.
     """
+
+    def cut(x: Column) -> Column:
+        m = x["stop"] - x["start"]
+        share = F.least(F.lit(overlap), m - 2)
+        middle = x["start"] + F.floor(m / 2).cast("int")
+        left = F.struct(x["start"].alias("start"), (middle + F.floor((share + 1) / 2).cast("int")).alias("stop"))
+        right = F.struct((middle - F.floor(share / 2).cast("int")).alias("start"), x["stop"].alias("stop"))
+        return F.when(m > limit, F.array(left, right)).otherwise(F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.greatest(n, F.lit(1)))) + 3)
+    whole = F.array(F.struct(F.lit(0).alias("start"), n.cast("int").alias("stop")))
+    return F.when(n <= limit, whole).otherwise(F.aggregate(rounds, whole, lambda spans, _: F.flatten(F.transform(spans, cut))))
+
+
+def overlapping_spans(texts: DataFrame, *, limit: int, overlap: int) -> DataFrame:
+    """(id, start, stop): token spans of texts (id, n: the number of tokens), as halved() cuts them; a projection, without a shuffle."""
     if not 0 <= overlap < limit - 2:
         raise ValueError("overlap must be less than limit - 2")
-    longest, depth = texts.agg(F.max("n")).first()[0] or 0, 0
-    while longest > limit:  # as many levels as the longest text needs
-        longest, depth = -(-longest // 2) + (min(overlap, longest - 2) + 1) // 2, depth + 1
-    spans = texts.select("id", F.lit(0).alias("start"), F.col("n").alias("stop"))
-    done = spans.filter(F.col("stop") - F.col("start") <= limit)
-    for _ in range(depth):
-        m = F.col("stop") - F.col("start")
-        share = F.least(F.lit(overlap), m - 2)
-        middle = F.col("start") + F.floor(m / 2).cast("int")
-        cut = spans.filter(m > limit).select("id", F.explode(F.array(F.struct(F.col("start").alias("a"), (middle + F.floor((share + 1) / 2).cast("int")).alias("b")), F.struct((middle - F.floor(share / 2).cast("int")).alias("a"), F.col("stop").alias("b")))).alias("x"))
-        spans = cut.select("id", F.col("x.a").alias("start"), F.col("x.b").alias("stop"))
-        done = done.unionByName(spans.filter(F.col("stop") - F.col("start") <= limit))
-    return done
+    return texts.select("id", F.inline(halved(F.col("n"), limit, overlap)))
 
 
 def maximal_spans(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
@@ -138,21 +147,23 @@ def line_segments(texts: DataFrame) -> DataFrame:
     """(doc_id, segment, kind, first, lines): runs of lines of one kind: code, table, heading, image, blank or text.
 
     A fence line belongs to its code.  Gaps and islands: a new segment begins
-    where the kind differs from that of the line before.
+    where the kind differs from that of the line before.  A line's own kind is
+    found in its row, so that no text is shuffled.
     """
-    lines = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    fence = F.col("line").rlike("^[ \t]*```")
-    lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kind = (
-        F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code")
-        .when(F.col("line").rlike("^[ \t]*[|]"), "table")
-        .when(F.col("line").rlike("^#{1,6} "), "heading")
-        .when(F.col("line").rlike(r"^!\[[^\]]*\]\([^)]*\)"), "image")
-        .when(F.trim("line") == "", "blank")
+    own = lambda x: (
+        F.when(x.rlike("^[ \t]*```"), "fence")
+        .when(x.rlike("^[ \t]*[|]"), "table")
+        .when(x.rlike("^#{1,6} "), "heading")
+        .when(x.rlike(r"^!\[[^\]]*\]\([^)]*\)"), "image")
+        .when(F.trim(x) == "", "blank")
         .otherwise("text")
     )
-    marked = lines.withColumn("kind", kind).withColumn("new", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1)))
+    lines = texts.select("doc_id", F.posexplode(F.transform(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), own)).alias("n", "own"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    fence = F.col("own") == "fence"
+    fenced = lines.withColumn("fences", F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = fenced.withColumn("kind", F.when(fence | (F.col("fences") % 2 == 1), "code").otherwise(F.col("own")))
+    marked = marked.withColumn("new", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1)))
     return marked.withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "segment", "kind").agg((F.min("n") + 1).alias("first"), F.count("*").alias("lines"))
 
 
@@ -167,13 +178,26 @@ def clear_spans(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
     return seen.filter((F.col("reach").isNull() | (F.col("reach") <= F.col("start"))) & (F.col("next").isNull() | (F.col("next") >= F.col("stop")))).drop("reach", "next")
 
 
-def greedy_spans(spans: DataFrame) -> DataFrame:
-    """Of each id, in order of tie, each span that overlaps no span taken before: earlier ones win. A fold over the spans of one id."""
+def greedy_spans(spans: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Of each id, in order of tie, each span that overlaps no span taken before: earlier ones win.
+
+    Of equal spans only the first by tie can win.  The spans of an id are cut
+    into stretches that touch no other, and each stretch is a fold of its own, so
+    an id of any size is spread.  width: how much of ``start`` one task sees at once.
+    """
+    empty = F.when(F.col("start") >= F.col("stop"), F.col("tie"))  # empty spans clash with no equal one
+    distinct = spans.groupBy("id", "start", "stop", empty.alias("__empty")).agg(F.min("tie").alias("tie")).drop("__empty")
+    block, order = F.floor(F.col("start") / width), ["start", "stop", "tie"]
+    seen = running(distinct, "id", block, order, F.col("stop"), "reach", total=F.max, strict=True)
+    begins = F.when(F.col("reach").isNull() | (F.col("reach") <= F.col("start")), F.col("start"))
+    stretches = carried(seen, "id", block, order, begins, "stretch")
     items = F.array_sort(F.collect_list(F.struct("tie", "start", "stop")))
-    none = F.expr("cast(array() as array<struct<tie:bigint,start:int,stop:int>>)")
+    none = F.expr("cast(array() as array<struct<tie:bigint,start:bigint,stop:bigint>>)")
     clash = lambda kept, x: F.exists(kept, lambda k: (k["start"] < x["stop"]) & (x["start"] < k["stop"]))
     kept = F.aggregate("items", none, lambda kept, x: F.when(clash(kept, x), kept).otherwise(F.array_append(kept, x)))
-    return spans.groupBy("id").agg(items.alias("items")).select("id", F.explode(kept).alias("x")).select("id", "x.start", "x.stop", "x.tie")
+    wide = stretches.select("id", "stretch", F.col("tie").cast("long").alias("tie"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    taken = wide.groupBy("id", "stretch").agg(items.alias("items")).select("id", F.explode(kept).alias("x")).select("id", "x.start", "x.stop", "x.tie")
+    return taken.select("id", *[F.col(c).cast(spans.schema[c].dataType).alias(c) for c in ("start", "stop", "tie")])
 
 
 REFERENCES, APPENDIX = r"(?i)^#+\s*(references|bibliography|参考文献)\s*$", r"(?i)^#+\s*(appendix|appendices|附录)"

@@ -8,19 +8,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import context, resolve, sequences
 from ..sources.tables import table
+from .queries import Registered
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = Registered()
+QUERIES, SQL = query.queries, query.sql
 
 
 def _documents(spark, sf_dir):
@@ -41,8 +32,7 @@ def para_split(spark, sf_dir):
 @query(f"""SELECT doc_id, grp, count(*) AS paragraphs, min(n) AS first, sum(length(paragraph)) AS chars FROM (SELECT *, sum(CASE WHEN starts_with(paragraph, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM ({_PARAS})) GROUP BY 1, 2""")
 def heading_groups(spark, sf_dir):
     """Paragraphs grouped at headings."""
-    grouped = sequences.heading_groups(sequences.exploded_paragraphs(_documents(spark, sf_dir)))
-    return grouped.groupBy("doc_id", "grp").agg(F.count("*").alias("paragraphs"), F.min("n").alias("first"), F.sum(F.length("paragraph")).alias("chars"))
+    return sequences.heading_groups(_documents(spark, sf_dir)).groupBy("doc_id", "grp").agg(F.count("*").alias("paragraphs"), F.min("n").alias("first"), F.sum("chars").alias("chars"))
 
 
 @query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, n, length(paragraph) AS len FROM ({_PARAS})),
@@ -78,22 +68,31 @@ def overlap_exact(spark, sf_dir):
 
 @query("""SELECT domain, count(*) AS docs, sum(octet_length(encode(text))) AS bytes, max(octet_length(encode(text))) AS largest, round(median(octet_length(encode(text))), 1) AS median_bytes FROM documents GROUP BY 1""")
 def byte_budget_stats(spark, sf_dir):
-    """Sizes of the texts by domain; the median is exact."""
-    size = F.octet_length("text").cast("long")
-    return _documents(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("docs"), F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.round(F.median(size), 1).alias("median_bytes"))
+    """Sizes of the texts by domain; the median is exact, by the number of texts of each size."""
+    sized = _documents(spark, sf_dir).select("domain", F.octet_length("text").cast("long").alias("size")).groupBy("domain", "size").agg(F.count("*").alias("n"))
+    totals = sized.groupBy("domain").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("bytes"), F.max("size").alias("largest"), F.sum(F.when(F.col("size").isNotNull(), F.col("n"))).alias("sized"))
+    so_far = sequences.running(sized.filter("size IS NOT NULL"), "domain", F.floor(F.col("size") / 4096), ["size"], F.col("n"), "upto")
+    placed = so_far.join(totals.select(F.col("domain").alias("of"), "sized"), F.col("domain").eqNullSafe(F.col("of")))
+    holds = lambda p: F.max(F.when((F.col("upto") >= p) & (F.col("upto") - F.col("n") < p), F.col("size")))
+    middle = placed.groupBy("of").agg(F.round((holds(F.floor((F.col("sized") + 1) / 2)) + holds(F.floor(F.col("sized") / 2) + 1)) / 2, 1).alias("median_bytes"))
+    return totals.join(middle, F.col("domain").eqNullSafe(F.col("of")), "left").select("domain", "docs", "bytes", "largest", "median_bytes")
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(text, '([\\`*_{}\[\]()#+!|>~-])', '\\\1', 'g')) AS escaped, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[\s*S[0-9]+(?:\s*,\s*S[0-9]+)*\s*\]', '', 'g'), '[ \t]+([.,;:!?])', '\1', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS shown FROM documents""")
+_SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+
+
+@query(rf"""SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(text, '{_SPACE_SQL}', ' ', 'g')), '([\\`*_\[\]<>#|!~])', '\\\1', 'g')) AS escaped,
+length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^\n]*?\)', '', 'g'), '(?:\[S[0-9]+\]\s*)+(的(?:原图|图表|正文|内容|描述))', '对应证据\1', 'g'), '\[S[0-9]+\]', '', 'g'), '[ \t]+([，。；：,.!?])', '\1', 'g'), '^{_SPACE_SQL}|{_SPACE_SQL}$', '', 'g')) AS shown FROM documents""")
 def text_projections(spark, sf_dir):
     """Texts escaped for Markdown, and as an answer would be shown."""
     return _documents(spark, sf_dir).select("doc_id", T.sha256(T.escaped(F.col("text"))).alias("escaped"), F.length(T.shown(F.col("text"))).alias("shown"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(i)) AS identifiers, array_to_string(list_sort(list_distinct(i)), ',') AS found FROM (SELECT doc_id, list_concat(list_concat(regexp_extract_all(t, '\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b'),
-regexp_extract_all(t, '\b[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+\b')), regexp_extract_all(t, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b')) AS i FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL))""")
+@query(r"""SELECT doc_id, len(list_distinct(i)) AS identifiers, array_to_string(list_sort(list_distinct(i)), ',') AS found FROM (SELECT doc_id, list_concat(list_concat(list_concat(regexp_extract_all(text, '\b[A-Za-z_][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\b'),
+regexp_extract_all(text, '\b[A-Za-z_][A-Za-z0-9]*\.[A-Za-z_][A-Za-z0-9_.]*')), regexp_extract_all(text, '\b[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]+\b')), regexp_extract_all(text, '[`''"]([A-Za-z_][A-Za-z0-9_.]*)[`''"]', 1)) AS i FROM documents WHERE text IS NOT NULL)""")
 def code_identifiers(spark, sf_dir):
     """Identifiers of program code in every text."""
-    ids = T.code_identifiers(F.regexp_replace("text", r"[^\x00-\x7f]", " "))
+    ids = T.code_identifiers(F.col("text"))
     return _documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.size(ids).alias("identifiers"), F.array_join(F.array_sort(ids), ",").alias("found"))
 
 
@@ -115,35 +114,54 @@ def vendor_docs(spark, sf_dir):
 @query("""SELECT document_id, array_to_string(list_sort(list_distinct(list_filter([lower(document_title), lower(split_part(document_title, ':', 1))] || list_transform(coalesce(aliases, []), lambda x: lower(x)), lambda x: x IS NOT NULL)))[1:12], '|') AS names,
 CASE WHEN regexp_matches(source_url, '^https?://[^\\s]+$') THEN source_url END AS url FROM doc_catalog WHERE document_title IS NOT NULL""")
 def identity_names(spark, sf_dir):
-    """The names each source goes by: distinct, sorted, at most twelve (the reference's own limit on surfaces), and its safe address."""
+    """The names each source goes by: distinct, sorted, the first twelve, and its safe address."""
+    return identities(table(spark, sf_dir, "doc_catalog"), most=12)
+
+
+def identities(catalog, *, most: int | None = None):
+    """(document_id, names, url) of a catalog's titled documents; most: how many names are given, all if None."""
     own = F.array(F.lower("document_title"), F.lower(F.split_part("document_title", F.lit(":"), F.lit(1))))
     names = F.array_sort(F.array_distinct(F.filter(F.concat(own, F.transform(F.coalesce("aliases", F.expr("cast(array() as array<string>)")), F.lower)), lambda x: x.isNotNull())))
-    return table(spark, sf_dir, "doc_catalog").filter("document_title IS NOT NULL").select("document_id", F.array_join(F.slice(names, 1, 12), "|").alias("names"), T.safe_url(F.col("source_url")).alias("url"))
+    return catalog.filter("document_title IS NOT NULL").select("document_id", F.array_join(F.slice(names, 1, most) if most else names, "|").alias("names"), T.safe_url(F.col("source_url")).alias("url"))
+
+
+_WORDS_SQL = r"list_distinct(regexp_extract_all(regexp_replace(lower({0}), '([\x{{4e00}}-\x{{9fff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+'))"
+_NAMED_SQL = f"""WITH n AS MATERIALIZED (SELECT DISTINCT owner, name, {_WORDS_SQL.format('name')} AS words FROM ({{0}}) WHERE name IS NOT NULL), q AS MATERIALIZED (SELECT question_id, unnest({_WORDS_SQL.format('original_query')}) AS word FROM questions),
+w AS (SELECT owner, name, len(words) AS need, unnest(words) AS word FROM n) SELECT question_id, owner, name FROM q JOIN w USING (word) GROUP BY question_id, owner, name, need HAVING count(*) = need"""
+_ALIASES_SQL = "SELECT document_id AS owner, unnest(aliases) AS name FROM doc_catalog"
+_SOURCE_NAMES_SQL = f"SELECT document_id AS owner, document_title AS name FROM doc_catalog UNION ALL SELECT document_id, split_part(document_id, '-', 1) FROM doc_catalog UNION ALL {_ALIASES_SQL}"
 
 
-_NAMES_SQL = "SELECT DISTINCT lower(split_part(document_id, '-', 1)) AS name, document_id FROM doc_catalog WHERE document_id IS NOT NULL"
-_QUESTION_TOKENS = "SELECT question_id, unnest(list_distinct(regexp_extract_all(lower(original_query), '[a-z]+'))) AS token FROM questions"
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "questions").select(F.col("question_id").alias("id"), F.col("original_query").alias("text"))
 
 
-def _question_tokens(spark, sf_dir):
-    found = F.array_distinct(F.regexp_extract_all(F.lower("original_query"), F.lit("[a-z]+"), F.lit(0)))
-    return table(spark, sf_dir, "questions").select("question_id", F.explode(found).alias("token"))
+def _aliases(spark, sf_dir):
+    return table(spark, sf_dir, "doc_catalog").select(F.col("document_id").alias("owner"), F.explode("aliases").alias("name"))
 
 
-@query(f"SELECT question_id, count(*) AS sources, min(document_id) AS first FROM ({_QUESTION_TOKENS}) JOIN ({_NAMES_SQL}) ON token = name GROUP BY 1")
+@query(f"SELECT question_id, count(DISTINCT owner) AS sources, min(owner) AS first FROM ({_NAMED_SQL.replace("{0}", _SOURCE_NAMES_SQL)}) GROUP BY 1")
 def name_contains(spark, sf_dir):
-    """Sources that a question names: containment as an equi-join on words."""
-    names = table(spark, sf_dir, "doc_catalog").filter("document_id IS NOT NULL").select(F.lower(F.split_part("document_id", F.lit("-"), F.lit(1))).alias("token"), "document_id").distinct()
-    return _question_tokens(spark, sf_dir).join(names, "token").groupBy("question_id").agg(F.count("*").alias("sources"), F.min("document_id").alias("first"))
+    """Sources that a question names: by title, by the first part of the id, or by an alias, of which it must have every word."""
+    catalog = table(spark, sf_dir, "doc_catalog")
+    names = catalog.select(F.col("document_id").alias("owner"), F.explode(F.array("document_title", F.split_part("document_id", F.lit("-"), F.lit(1)))).alias("name"))
+    named = resolve.named_whole(_asked(spark, sf_dir), names.unionByName(_aliases(spark, sf_dir)))
+    return named.groupBy(F.col("id").alias("question_id")).agg(F.countDistinct("owner").alias("sources"), F.min("owner").alias("first"))
 
 
-@query(f"""WITH t AS ({_QUESTION_TOKENS}), a AS (SELECT document_id, unnest(aliases) AS alias FROM doc_catalog), w AS (SELECT DISTINCT document_id, alias, unnest(regexp_extract_all(lower(alias), '[a-z]+')) AS token FROM a), n AS (SELECT document_id, alias, count(*) AS need FROM w GROUP BY 1, 2)
-SELECT question_id, document_id, alias FROM t JOIN w USING (token) JOIN n USING (document_id, alias) GROUP BY question_id, document_id, alias, need HAVING count(*) = need""")
+@query(f"SELECT question_id, owner AS document_id, name AS alias FROM ({_NAMED_SQL.replace("{0}", _ALIASES_SQL)})")
 def token_division(spark, sf_dir):
     """Aliases of which a question has every word: relational division."""
-    aliases = table(spark, sf_dir, "doc_catalog").select(F.col("document_id").alias("owner"), F.explode("aliases").alias("name"))
-    asked = table(spark, sf_dir, "questions").select(F.col("question_id").alias("id"), F.col("original_query").alias("text"))
-    return resolve.named_whole(asked, aliases).select(F.col("id").alias("question_id"), F.col("owner").alias("document_id"), F.col("name").alias("alias"))
+    return resolve.named_whole(_asked(spark, sf_dir), _aliases(spark, sf_dir)).select(F.col("id").alias("question_id"), F.col("owner").alias("document_id"), F.col("name").alias("alias"))
+
+
+@query(rf"""WITH n AS ({_NAMED_SQL.replace("{0}", _ALIASES_SQL)}), p AS (SELECT question_id, owner, name, original_query AS t, unnest(range(1, length(original_query) + 1)) AS place FROM n JOIN questions USING (question_id))
+SELECT question_id, owner AS document_id, name AS alias, count(*) AS times, min(place) AS first, max(place) AS last FROM p WHERE substr(t, place, length(name)) = name AND (place = 1 OR NOT regexp_matches(substr(t, place - 1, 1), '[A-Za-z0-9_]')) AND NOT regexp_matches(substr(t, place + length(name), 1), '[A-Za-z0-9_]') GROUP BY 1, 2, 3""")
+def name_occurrences(spark, sf_dir):
+    """Where aliases stand in questions as written, at the bounds of words."""
+    named = resolve.named_whole(_asked(spark, sf_dir), _aliases(spark, sf_dir)).join(_asked(spark, sf_dir), "id")
+    places = named.select(F.col("id").alias("question_id"), F.col("owner").alias("document_id"), F.col("name").alias("alias"), T.occurrences(F.col("text"), F.col("name")).alias("p")).filter(F.size("p") > 0)
+    return places.select("question_id", "document_id", "alias", F.size("p").alias("times"), F.get("p", F.lit(0)).alias("first"), F.element_at("p", -1).alias("last"))
 
 
 @query("""SELECT coalesce(c.document_id, r.document_id) AS document_id, CASE WHEN r.document_id IS NULL THEN 'no records' WHEN c.document_id IS NULL THEN 'not in catalog' WHEN NOT coalesce(c.inc, false) THEN 'left out' ELSE 'indexed' END AS state, coalesce(n, 0) AS records
@@ -228,17 +246,15 @@ def late_rows(spark, sf_dir):
     return rows.groupBy("domain", "source").agg(F.count("*").alias("rows"), F.count(F.when(lag > 7 * 86_400_000_000, 1)).alias("late"), F.max(lag).alias("longest_us"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_sort(list_transform(list_distinct(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: length(x) >= 20)), lambda x: sha256(x))) AS s FROM documents WHERE text IS NOT NULL),
-f AS (SELECT s, min(doc_id) AS doc_id FROM l WHERE len(s) > 0 GROUP BY 1), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS line FROM f)
-SELECT a.doc_id AS "inner", b.doc_id AS "outer" FROM e a JOIN e b ON a.line = b.line AND a.n < b.n GROUP BY a.doc_id, b.doc_id, a.n HAVING count(*) = a.n""")
+@query(rf"""WITH t AS (SELECT text, min(ord) AS id FROM records WHERE len({_WORDS_SQL.format('text').replace('list_distinct', '')}) >= 7 GROUP BY 1) SELECT a.id AS "inner", b.id AS "outer" FROM t a JOIN t b ON length(a.text) < length(b.text) AND contains(b.text, a.text)""")
 def overlap_containment(spark, sf_dir):
-    """Texts whose lines all stand in one larger text."""
-    return context.contained(_documents(spark, sf_dir).select("doc_id", "text"))
+    """Texts of records that stand whole inside another text."""
+    return context.contained(table(spark, sf_dir, "records").select(F.col("ord").alias("id"), "text"))
 
 
-@query(r"""SELECT question_id, len(list_distinct(regexp_extract_all(lower(original_query), '[a-z]+'))) AS words, length(regexp_replace(original_query, '"[^"]*"|“[^”]*”|《[^》]*》|«[^»]*»', '', 'g')) AS unquoted_chars,
-array_to_string(list_filter([CASE WHEN regexp_matches(lower(original_query), '\b(not|no|never|without|nicht|kein|ohne|sans|sin)\b|没|不') THEN 'negation' END, CASE WHEN regexp_matches(lower(original_query), '\b(than|versus|vs|difference|compare|compara|gegenüber)\b|比|不同') THEN 'comparison' END,
-CASE WHEN regexp_matches(lower(original_query), '\b(before|after|first|last|vor|nach|avant|après|antes|después)\b|之前|之后') THEN 'order' END], lambda x: x IS NOT NULL), ',') AS hints FROM questions WHERE original_query IS NOT NULL""")
+@query(r"""SELECT question_id, len(list_distinct(regexp_extract_all(lower(original_query), '[a-z]+'))) AS words, length(regexp_replace(regexp_replace(original_query, '''[^''\n]{1,120}''', ' ', 'g'), '《[^》]*》', ' ', 'g')) AS unquoted_chars,
+array_to_string(list_filter([CASE WHEN regexp_matches(original_query, '(?i)\b(?:not|no|never|without|except|unless|neither|nor)\b') THEN 'negation' END, CASE WHEN regexp_matches(original_query, '(?i)(?:\bvs[.](?:[^A-Za-z0-9_]|$)|\b(?:vs|versus|compared|compares|compare|comparison|than|more|less|least|most|difference)\b)') THEN 'comparison' END,
+CASE WHEN regexp_matches(original_query, '(?i)\b(?:first|second|third|then|after|before|next|previous|step|steps|order|sequence|final)\b') THEN 'order' END], lambda x: x IS NOT NULL), ',') AS hints FROM questions WHERE original_query IS NOT NULL""")
 def question_hints(spark, sf_dir):
     """What a rewriting of each question must keep."""
     q = F.col("original_query")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import context, lexical, sequences, vectors
-from ..sources.tables import content_manifest, kept, table
+from ..sources.tables import content_manifest, json_lines, kept, shared_folder, table, write_json_lines, write_new
+from .queries import Registered
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[0-9]+(?:\.[0-9]+)+|[a-z]+|[0-9]+')"
 BODY_SQL = "coalesce(CASE WHEN kind = 'visual_description' THEN retrieval_text ELSE text END, '')"
@@ -16,18 +20,8 @@ CHANNEL_SQL = f"SELECT CASE WHEN kind = 'text' THEN 'body' ELSE 'visual' END AS
 RUN_SQL = "list_transform(range(1, len(t) - {0} + 2), lambda i: array_to_string(t[i:i + {0} - 1], ' '))"
 PHRASES_SQL = f"list_concat({RUN_SQL.format(2)}, list_concat({RUN_SQL.format(3)}, {RUN_SQL.format(4)}))"
 USABLE_SQL = "SELECT ord, min(vector) AS vector FROM {0} WHERE vector IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ord"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = Registered()
+QUERIES, SQL = query.queries, query.sql
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,31 +189,39 @@ def scope_source(spark, sf_dir):
     return q.select("question_id", F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("n").isNull(), "no_candidates").otherwise("ok").alias("status"))
 
 
-@query("""WITH k AS (SELECT DISTINCT document_id, (CASE WHEN regexp_matches(lower(label), '^(fig|图)') THEN 'figure:' ELSE 'table:' END) || regexp_extract(label, '[0-9]+') AS key, ord FROM records WHERE kind <> 'text' AND regexp_matches(label, '[0-9]')),
-w AS (SELECT question_id, document_id, unnest(list_distinct(list_transform(regexp_extract_all(lower(original_query), '(?:figure|table) [0-9]+'), lambda m: replace(m, ' ', ':')))) AS key FROM questions)
-SELECT question_id, key, count(k.ord) AS candidates FROM w LEFT JOIN k USING (document_id, key) GROUP BY 1, 2""")
-def scope_label(spark, sf_dir):
-    """For the labels named in each question, how many visuals of its document carry them; labels that none carries stay."""
-    kind = F.when(F.lower("label").rlike("^(fig|图)"), "figure:").otherwise("table:")
-    carried = _records(spark, sf_dir).filter("kind <> 'text' AND label RLIKE '[0-9]'").select("document_id", F.concat(kind, F.regexp_extract("label", "[0-9]+", 0)).alias("key"), "ord").distinct()
-    named = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("original_query"), F.lit("(?:figure|table) [0-9]+"), F.lit(0)), lambda m: F.replace(m, F.lit(" "), F.lit(":"))))
-    wanted = table(spark, sf_dir, "questions").select("question_id", "document_id", F.explode(named).alias("key"))
-    return wanted.join(carried, ["document_id", "key"], "left").groupBy("question_id", "key").agg(F.count("ord").alias("candidates"))
+_ROMAN = "list_sum(list_transform(string_split({0}, ''), lambda c, i: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] * CASE WHEN [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] < coalesce(list_max(list_transform(string_split({0}, '')[i + 1:], lambda d: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', d)])), 0) THEN -1 ELSE 1 END))"
 
 
-_ROMAN = "list_sum(list_transform(string_split({0}, ''), lambda c, i: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] * CASE WHEN [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', c)] < coalesce(list_max(list_transform(string_split({0}, '')[i + 1:], lambda d: [1, 5, 10, 50, 100, 500, 1000][strpos('ivxlcdm', d)])), 0) THEN -1 ELSE 1 END))"
 
 
-@query(rf"""WITH m AS (SELECT question_id, 1 AS part, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT question_id, list_transform(regexp_extract_all(lower(original_query), '(?:^|[^\p{{L}}\p{{N}}_])(?:fig(?:ure|\.)?|tab(?:le|\.)?)[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)(?:[^\p{{L}}\p{{N}}_]|$)'), lambda x: regexp_extract(x, '(?:fig|tab)[a-z.]*[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)')) AS l FROM questions)
-UNION ALL SELECT question_id, 2, unnest(l), unnest(range(len(l))) FROM (SELECT question_id, regexp_extract_all(original_query, '[图表][\s\p{{Z}}]*[0-9]+') AS l FROM questions)),
-n AS (SELECT question_id, part, i, CASE WHEN m[1] IN ('f', '图') THEN 'figure:' ELSE 'table:' END AS kind, CASE WHEN regexp_matches(m, '[0-9]+$') THEN regexp_extract(m, '[0-9]+$')::BIGINT ELSE {_ROMAN.format("regexp_extract(m, '(?:figure|fig|table|tab)[.]?[\\s\\p{Z}]*([ivxlcdm]+)$', 1)")} END AS v FROM m),
-k AS (SELECT question_id, kind || v::BIGINT::VARCHAR AS label, min(part * 1000 + i) AS place FROM n WHERE v >= 1 GROUP BY 1, 2) SELECT question_id, string_agg(label, ',' ORDER BY place) AS labels FROM k GROUP BY 1""")
+def labels_sql(source: str) -> str:
+    """(key, label, place): the labels in the texts (key, txt), each once for a key, placed in the order of visual_labels."""
+    return rf"""WITH m AS (SELECT key, 1 AS part, unnest(l) AS m, unnest(range(len(l))) AS i FROM (SELECT key, list_transform(regexp_extract_all(lower(txt), '(?:^|[^\p{{L}}\p{{N}}_])(?:fig(?:ure)?|tab(?:le)?)\.?[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)(?:[^\p{{L}}\p{{N}}_]|$)'), lambda x: regexp_extract(x, '(?:fig|tab)[a-z.]*[\s\p{{Z}}]*(?:[0-9]+|[ivxlcdm]+)')) AS l FROM ({source}))
+UNION ALL SELECT key, 2, unnest(l), unnest(range(len(l))) FROM (SELECT key, regexp_extract_all(txt, '[图表][\s\p{{Z}}]*[0-9]+') AS l FROM ({source}))),
+n AS (SELECT key, part, i, CASE WHEN m[1] IN ('f', '图') THEN 'figure:' ELSE 'table:' END AS kind, CASE WHEN regexp_matches(m, '[0-9]+$') THEN regexp_extract(m, '[0-9]+$')::BIGINT ELSE {_ROMAN.format("regexp_extract(m, '(?:figure|fig|table|tab)[.]?[\\s\\p{Z}]*([ivxlcdm]+)$', 1)")} END AS v FROM m)
+SELECT key, kind || v::BIGINT::VARCHAR AS label, min(part * 1000 + i) AS place FROM n WHERE v >= 1 GROUP BY 1, 2"""
+
+
+_ASKED_LABELS = labels_sql("SELECT question_id AS key, original_query AS txt FROM questions")
+_CARRIED_LABELS = labels_sql("SELECT ord AS key, label AS txt FROM records WHERE kind <> 'text' AND label IS NOT NULL")
+
+
+@query(f"SELECT key AS question_id, string_agg(label, ',' ORDER BY place) AS labels FROM ({_ASKED_LABELS}) GROUP BY 1")
 def label_parse(spark, sf_dir):
     """Labels named in each question: Latin forms with digits or Roman numerals first, then CJK forms."""
     q = table(spark, sf_dir, "questions").filter("original_query IS NOT NULL")
     return q.select("question_id", F.array_join(T.visual_labels(F.col("original_query")), ",").alias("labels")).filter("labels <> ''")
 
 
+@query(f"""WITH k AS (SELECT document_id, label, key AS ord FROM ({_CARRIED_LABELS}) JOIN (SELECT ord AS key, document_id FROM records) USING (key)), w AS (SELECT key AS question_id, document_id, label FROM ({_ASKED_LABELS}) JOIN (SELECT question_id AS key, document_id FROM questions) USING (key))
+SELECT question_id, label AS key, count(k.ord) AS candidates FROM w LEFT JOIN k USING (document_id, label) GROUP BY 1, 2""")
+def scope_label(spark, sf_dir):
+    """For the labels named in each question, how many visuals of its document carry them; labels that none carries stay."""
+    carried = _records(spark, sf_dir).filter("kind <> 'text'").select("document_id", F.explode(T.visual_labels(F.col("label"))).alias("key"), "ord").distinct()
+    wanted = table(spark, sf_dir, "questions").select("question_id", "document_id", F.explode(T.visual_labels(F.col("original_query"))).alias("key"))
+    return wanted.join(carried, ["document_id", "key"], "left").groupBy("question_id", "key").agg(F.count("ord").alias("candidates"))
+
+
 @query("""SELECT document_id, count(*) FILTER (kind = 'text' AND NOT coalesce(reference_only, false)) AS body, count(*) FILTER (kind = 'visual_description') AS visual, count(*) FILTER (kind = 'text' AND reference_only) AS reference_only FROM records GROUP BY 1""")
 def ref_only_antijoin(spark, sf_dir):
     """Rankable text, visual and readable-only records of each document."""
@@ -289,13 +291,13 @@ def overlap_split(spark, sf_dir):
 def stitch_back(spark, sf_dir):
     """Split records put together again from their overlapping spans: the digest is the original's."""
     words = _long_records(spark, sf_dir).filter(F.size("w") > 200)
-    spans = sequences.overlapping_spans(words.select("id", F.size("w").alias("n")), limit=200, overlap=60)
-    parts = spans.join(words, "id").select("id", "start", "stop", F.slice("w", F.col("start") + 1, F.col("stop") - F.col("start")).alias("part"))
-    order = F.array_sort(F.collect_list(F.struct("start", "stop", "part")))  # the spans of one record
+    part = lambda x: F.struct(x["start"].alias("start"), F.slice("w", x["start"] + 1, x["stop"] - x["start"]).alias("part"))
+    spans = words.select("id", F.sha2(F.array_join("w", " "), 256).alias("own"), F.explode(F.transform(sequences.halved(F.size("w"), 200, 60), part)).alias("x"))
+    order = F.array_sort(F.collect_list("x"))  # the spans of one record
     empty = F.expr("cast(array() as array<string>)")
     joined = F.aggregate(order, empty, lambda s, x: F.concat(s, F.slice(x["part"], F.size(s) - x["start"] + 1, F.size(x["part"]))))
-    back = parts.groupBy("id").agg(F.sha2(F.array_join(joined, " "), 256).alias("digest"))
-    return back.join(words.select("id", F.sha2(F.array_join("w", " "), 256).alias("own")), "id").select("id", "digest", (F.col("digest") == F.col("own")).alias("whole"))
+    back = spans.groupBy("id", "own").agg(F.sha2(F.array_join(joined, " "), 256).alias("digest"))
+    return back.select("id", "digest", (F.col("digest") == F.col("own")).alias("whole"))
 
 
 @query("""WITH k AS (SELECT origin_chunk_id AS caption, chunk_id AS child, min(seq) AS seq FROM records WHERE origin_chunk_id IS NOT NULL AND origin_chunk_id <> chunk_id GROUP BY 1, 2),
@@ -534,3 +536,97 @@ def record_builders(spark, sf_dir):
         T.content_id(F.col("document_id"), F.col("text")).alias("content_id"),
         F.when(start.isNotNull(), T.span_id(start, stop)).alias("span"),
     )
+
+
+@query(f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ord) AS n, count(*) OVER (PARTITION BY chunk_id) AS deliveries FROM records), k AS (SELECT ord, chunk_id, deliveries, CASE WHEN image_path <> '' AND source_path <> '' THEN sha256(coalesce(text, '') || chr(31) || coalesce(retrieval_text, '') || chr(31) || source_path || chr(31) || image_path || chr(31) || coalesce(document_title, '') || chr(31) || coalesce(label, '') || chr(31) || coalesce(visual_type, '') || chr(31) || coalesce(array_to_string(section_path, '/'), '')) ELSE chunk_id END AS identity FROM f WHERE n = 1)
+SELECT min(ord) AS kept, count(*) AS chunks, sum(deliveries)::BIGINT AS rows, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids FROM k GROUP BY identity HAVING sum(deliveries) > 1""")
+def dedup_evidence(spark, sf_dir):
+    """Records that repeat others, in two steps: the same chunk id; then other ids with the same text, metadata and rendered asset. Without an asset to prove the place, both stay. The kept record has the ids of all."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("text", "retrieval_text", "source_path", "image_path", "document_title", "label", "visual_type")]
+    identity = F.sha2(F.concat_ws("\x1f", *parts, F.coalesce(F.array_join("section_path", "/"), F.lit(""))), 256)
+    proven = F.expr("image_path <> '' AND source_path <> ''")
+    rows = _records(spark, sf_dir).select("chunk_id", "ord", F.when(proven, identity).otherwise(F.col("chunk_id")).alias("identity"))
+    return context.merged(rows, "chunk_id", "ord", "identity")
+
+
+@query(f"""WITH b AS (SELECT query_id AS case_id, rank, id FROM ({_BM25_SQL}) WHERE rank <= 10 AND channel = 'body'), t AS (SELECT b.*, coalesce(text, '') AS text, list_distinct(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: trim(x)), lambda x: length(x) >= 20)) AS lines FROM b JOIN records ON ord = id)
+SELECT case_id, x.id AS first, y.id AS second, x.text = y.text AS exact, x.text <> y.text AND (contains(x.text, y.text) OR contains(y.text, x.text)) AS contained, CASE WHEN x.text = y.text THEN 0 ELSE len(list_intersect(x.lines, y.lines)) END::INT AS shared_lines
+FROM t x JOIN t y USING (case_id) WHERE x.rank < y.rank AND (x.text = y.text OR contains(x.text, y.text) OR contains(y.text, x.text) OR len(list_intersect(x.lines, y.lines)) > 0)""")
+def case_overlaps(spark, sf_dir):
+    """Pairs of a search's ten best texts that repeat each other: exactly, one inside the other, or in lines of twenty characters and more."""
+    best = _best(spark, sf_dir, 10).filter("channel = 'body'").select(F.col("query_id").alias("case_id"), "rank", "id")
+    texts = _records(spark, sf_dir).select(F.col("ord").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return context.pair_overlaps(kept(best.join(texts, "id")))
+
+
+_COST_SQL = "octet_length(encode('[S' || rank || '] ' || coalesce(document_title, '') || chr(10) || coalesce(text, '') || chr(10) || chr(10)))"
+
+
+@query(f"""WITH b AS (SELECT query_id, id, rank FROM ({_BM25_SQL}) WHERE rank <= 20 AND channel = 'body'), c AS (SELECT b.query_id AS case_id, {_COST_SQL} AS cost FROM b JOIN records ON ord = id), g AS (SELECT case_id, count(*) AS items, sum(cost) AS cost FROM c GROUP BY 1),
+a AS (SELECT query_id AS case_id, 120 + octet_length(encode(query)) AS base FROM ({_SEARCH})) SELECT case_id, coalesce(items, 0) AS items, base + coalesce(cost, 0) AS cost, CASE WHEN base > 12000 THEN 'envelope over budget' WHEN base + coalesce(cost, 0) > 12000 THEN 'refused' ELSE 'fits' END AS status FROM a LEFT JOIN g USING (case_id)""")
+def pack_all(spark, sf_dir):
+    """All records of each search as context, in the form they are sent, with the question: what does not fit is refused, never cut; searches without records stay."""
+    best = _best(spark, sf_dir, 20).filter("channel = 'body'")
+    texts = _records(spark, sf_dir).select(F.col("ord").alias("id"), "document_title", "text")
+    block = F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("] "), F.coalesce("document_title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
+    items = best.join(texts, "id").select(F.col("query_id").alias("case_id"), F.octet_length(block).cast("long").alias("cost"))
+    cases = _search_queries(spark, sf_dir).select(F.col("query_id").alias("case_id"), (F.octet_length("query") + 120).cast("long").alias("base"))
+    return context.packed_all(cases, items, 12_000)
+
+
+_CHECK_SQL = "SELECT '{0}' AS rule, count(*) AS failures FROM {1}"
+_VECTOR_OWNERS = "(SELECT chunk_id, 'text' AS kind FROM body_vectors UNION ALL SELECT chunk_id, 'visual_description' FROM description_vectors)"
+
+
+@query(" UNION ALL ".join(_CHECK_SQL.format(n, q) for n, q in [
+    ("vector shape", "(SELECT vector FROM body_vectors UNION ALL SELECT vector FROM description_vectors) WHERE vector IS NULL OR len(vector) <> 64"),
+    ("vector values", "(SELECT vector FROM body_vectors UNION ALL SELECT vector FROM description_vectors) WHERE len(vector) = 64 AND (len(list_filter(vector, lambda x: isnan(x))) > 0 OR abs(sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) - 1) > 1e-3)"),
+    ("vector without record", f"(SELECT DISTINCT chunk_id, kind FROM {_VECTOR_OWNERS}) v ANTI JOIN records r ON r.chunk_id = v.chunk_id AND r.kind = v.kind"),
+    ("caption without text", "(SELECT DISTINCT unnest(caption_chunk_ids) AS chunk_id FROM records) c ANTI JOIN (SELECT chunk_id FROM records WHERE kind = 'text') r USING (chunk_id)"),
+    ("neighbour without text", "(SELECT DISTINCT prev_text_chunk_id AS chunk_id FROM records WHERE prev_text_chunk_id IS NOT NULL UNION SELECT next_text_chunk_id FROM records WHERE next_text_chunk_id IS NOT NULL) c ANTI JOIN (SELECT chunk_id FROM records WHERE kind = 'text') r USING (chunk_id)"),
+    ("document not in catalog", "(SELECT DISTINCT document_id FROM records WHERE document_id IS NOT NULL) d ANTI JOIN doc_catalog c USING (document_id)"),
+    ("chunk with two texts", "(SELECT chunk_id FROM records GROUP BY 1 HAVING count(DISTINCT sha256(coalesce(text, ''))) > 1)"),
+]))
+def load_check(spark, sf_dir):
+    """What must hold before records and vectors are searched together, and how often it does not."""
+    rows = _records(spark, sf_dir)
+    named = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("failures"))
+    owned = [table(spark, sf_dir, t).select("vector", "chunk_id", F.lit(k).alias("kind")) for t, k in (("body_vectors", "text"), ("description_vectors", "visual_description"))]
+    both = owned[0].unionByName(owned[1])
+    texts = rows.filter("kind = 'text'").select("chunk_id").distinct()
+    v = F.col("vector")
+    fits = F.size(v) == 64
+    linked = rows.select(F.explode(F.array("prev_text_chunk_id", "next_text_chunk_id")).alias("chunk_id")).filter("chunk_id IS NOT NULL").distinct()
+    checks = [
+        named("vector shape", both.filter(v.isNull() | ~fits)),
+        named("vector values", both.filter(fits & (F.exists(v, F.isnan) | (F.abs(F.sqrt(vectors.dot(v, v)) - 1) > 1e-3)))),
+        named("vector without record", both.select("chunk_id", "kind").distinct().join(rows.select("chunk_id", "kind").distinct(), ["chunk_id", "kind"], "left_anti")),
+        named("caption without text", rows.select(F.explode("caption_chunk_ids").alias("chunk_id")).distinct().join(texts, "chunk_id", "left_anti")),
+        named("neighbour without text", linked.join(texts, "chunk_id", "left_anti")),
+        named("document not in catalog", rows.select("document_id").filter("document_id IS NOT NULL").distinct().join(table(spark, sf_dir, "doc_catalog").select("document_id").distinct(), "document_id", "left_anti")),
+        named("chunk with two texts", rows.groupBy("chunk_id").agg(F.countDistinct(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("n")).filter("n > 1")),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+@query("""SELECT document_id, kind, count(*) AS rows, sum(length(text))::BIGINT AS chars, count(*) FILTER (len(section_path) > 0) AS sections FROM records GROUP BY 1, 2""")
+def json_round_trip(spark, sf_dir):
+    """The records written as JSON lines in the form of chunks and read again by their schema."""
+    meta = F.struct(*[c for c in ("document_id", "document_title", "source_path", "source_url", "section_path", "image_path", "visual_type", "label", "prev_text_chunk_id", "next_text_chunk_id", "caption_chunk_ids")])
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    write_json_lines(_records(spark, sf_dir).select("chunk_id", "kind", "seq", "text", "retrieval_text", meta.alias("metadata")), path)
+    rows = json_lines(spark, path)
+    return rows.groupBy("metadata.document_id", "kind").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"), F.count(F.when(F.size("metadata.section_path") > 0, 1)).alias("sections"))
+
+
+@query("""SELECT count(*) AS rows, sum(length(text))::BIGINT AS chars, true AS manifest_agrees FROM records""")
+def table_round_trip(spark, sf_dir):
+    """The records written as a new table with its manifest last, read again, and compared with the manifest."""
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    rows = _records(spark, sf_dir).select("document_id", "ord", "text")
+    write_new(rows, path, content_manifest(rows, "document_id", "text"))
+    back = spark.read.parquet(path)
+    columns = ["document_id", "rows", "bytes", "digest"]
+    said = spark.read.schema("document_id string, rows long, bytes long, digest long").json(f"{path}.manifest").select(columns)
+    differ = content_manifest(back, "document_id", "text").select(columns).exceptAll(said).agg(F.count("*").alias("n"))
+    return back.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).crossJoin(differ).select("rows", "chars", (F.col("n") == 0).alias("manifest_agrees"))

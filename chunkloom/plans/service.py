@@ -9,19 +9,10 @@ from ..functions import text as T
 from ..operators import context, sequences
 from ..sources.tables import table
 from ..streaming import queue
+from .queries import Registered
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = Registered()
+QUERIES, SQL = query.queries, query.sql
 
 
 def _jobs(spark, sf_dir):
@@ -73,25 +64,35 @@ def usage_totals(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("events"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"), F.round(F.sum("value"), 2).alias("value"))
 
 
-_ANSWERS_SQL = """SELECT l_orderkey AS id, string_agg(CASE WHEN l_linenumber % 2 = 0 THEN '[S' || l_linenumber || ', S' || (l_linenumber + 1) || ']' ELSE '[S' || l_linenumber || ']' END, ' and ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS answer FROM lineitem GROUP BY 1"""
+_ANSWERS_SQL = """SELECT l_orderkey AS id, string_agg(CASE l_linenumber % 4 WHEN 0 THEN '[S' || l_linenumber || ', S' || (l_linenumber + 1) || ']' WHEN 2 THEN '[ S' || l_linenumber || '；S' || (l_linenumber + 2) || '、 S1 ]' WHEN 3 THEN '[S' || l_linenumber || '; key] [0]' ELSE '[S' || l_linenumber || ']' END, ' and ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS answer FROM lineitem GROUP BY 1"""
 
 
 def _answers(spark, sf_dir):
-    """An answer for each order that cites its lines, singly and in groups."""
+    """An answer for each order that cites its lines, singly, in groups of every separator, and in brackets that are no citation."""
     n = F.col("l_linenumber").cast("string")
-    mark = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("[S"), n, F.lit(", S"), (F.col("l_linenumber") + 1).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("[S"), n, F.lit("]")))
+    plus = lambda k: (F.col("l_linenumber") + k).cast("string")
+    shape = F.col("l_linenumber") % 4
+    mark = (
+        F.when(shape == 0, F.concat(F.lit("[S"), n, F.lit(", S"), plus(1), F.lit("]")))
+        .when(shape == 2, F.concat(F.lit("[ S"), n, F.lit("；S"), plus(2), F.lit("、 S1 ]")))
+        .when(shape == 3, F.concat(F.lit("[S"), n, F.lit("; key] [0]")))  # no citation: not all of it is ids
+        .otherwise(F.concat(F.lit("[S"), n, F.lit("]")))
+    )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", mark.alias("m")).alias("x"))
     marks = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"])  # the lines of one order
     return rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(marks, " and ").alias("answer"))
 
 
-@query(rf"""SELECT id, array_to_string(regexp_extract_all(array_to_string(regexp_extract_all(answer, '\[\s*S[0-9]+(?:\s*,\s*S[0-9]+)*\s*\]'), ''), 'S[0-9]+'), ',') AS cited FROM ({_ANSWERS_SQL})""")
+_CITED_SQL = rf"regexp_extract_all(array_to_string(regexp_extract_all(answer, '\[\s*S[0-9]+(?:\s*[,，、;；]\s*S[0-9]+)*\s*\]'), ''), 'S[0-9]+')"
+
+
+@query(rf"""SELECT id, array_to_string({_CITED_SQL}, ',') AS cited FROM ({_ANSWERS_SQL})""")
 def cite_markers(spark, sf_dir):
     """Ids cited in single and grouped marks."""
     return _answers(spark, sf_dir).select("id", F.array_join(T.citation_ids(F.col("answer")), ",").alias("cited"))
 
 
-@query(rf"""WITH c AS (SELECT id, regexp_extract_all(answer, 'S[0-9]+') AS s FROM ({_ANSWERS_SQL})), k AS (SELECT id, list_sort(list_distinct(s)) AS u, s FROM c)
+@query(rf"""WITH c AS (SELECT id, {_CITED_SQL} AS s FROM ({_ANSWERS_SQL})), k AS (SELECT id, list_sort(list_distinct(s)) AS u, s FROM c)
 SELECT id, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS used, array_to_string(list_filter(list_filter(s, lambda x, i: list_position(s, x) = i), lambda x: NOT list_contains(['S1', 'S2', 'S3', 'S4'], x)), ',') AS unknown,
 array_to_string(list_filter(['S1', 'S2', 'S3', 'S4'], lambda x: NOT list_contains(s, x)), ',') AS unused FROM k""")
 def cite_unknown_unused(spark, sf_dir):
@@ -110,19 +111,21 @@ def asof_join(spark, sf_dir):
 
 @query("SELECT DISTINCT job_id, query FROM jobs WHERE job_id IS NOT NULL")
 def stream_submitted(spark, sf_dir):
-    """The queue as a stream: a job sent again is dropped by keyed state."""
+    """The queue as a stream: a job sent again is dropped by keyed state, which is forgotten when the watermark has passed it."""
     jobs = queue.submitted_once(queue.arriving(spark, f"{sf_dir}/jobs.parquet")).select("job_id", "query")
-    return queue.drained(jobs.writeStream.outputMode("append"), spark, jobs.schema)
+    return queue.drained(jobs, spark)
+
+
+_HOURLY = """SELECT epoch(created_at)::BIGINT // 3600 * 3600 AS hour, status, count(*) AS jobs FROM jobs WHERE created_at IS NOT NULL GROUP BY 1, 2"""
 
 
-@query()
+@query(_HOURLY)
 def stream_hourly(spark, sf_dir):
-    """Load by hour and status as a windowed stream; hours that the watermark has passed are final."""
-    load = queue.hourly_load(queue.arriving(spark, f"{sf_dir}/jobs.parquet"))
-    return queue.drained(load.writeStream.outputMode("append"), spark, load.schema)
+    """Load by hour and status as a windowed stream that gives an hour again whenever it changes; the last figure of each counts."""
+    return queue.drained(queue.hourly_load(queue.arriving(spark, f"{sf_dir}/jobs.parquet")), spark, keys=["hour", "status"])
 
 
-@query("""SELECT epoch(created_at)::BIGINT // 3600 * 3600 AS hour, status, count(*) AS jobs FROM jobs WHERE created_at IS NOT NULL GROUP BY 1, 2""")
+@query(_HOURLY)
 def hourly_load(spark, sf_dir):
     """The same load over the whole table at once."""
     return _jobs(spark, sf_dir).filter("created_at IS NOT NULL").groupBy(F.window("created_at", "1 hour").alias("w"), "status").agg(F.count("*").alias("jobs")).select(F.unix_seconds("w.start").alias("hour"), "status", "jobs")

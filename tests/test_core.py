@@ -77,7 +77,20 @@ def test_tokens_and_labels(spark):
     for numeral, value in {"IIII": 4, "VX": 5, "MCM": 1900}.items():
         assert one(spark, T.roman(F.col("t")), t=numeral) == value
     assert one(spark, T.squeezed(F.col("t")), t=" a　 b\n") == "a b"
+    assert label("Figure. 3, tab.4 and Figures 5") == ["figure:3", "table:4"]
     assert one(spark, T.citation_ids(F.col("t")), t="[S1, S2][S9](S3)") == ["S1", "S2", "S9"]
+    assert one(spark, T.citation_ids(F.col("t")), t="[S1；S2] [ S3、S4 ] [S5; key] [0]") == ["S1", "S2", "S3", "S4"]
+    assert one(spark, T.code_identifiers(F.col("t")), t="中Max_tokens用 GraphRAG, a.b.c and 'top_k' `name` x1") == ["Max_tokens", "top_k", "a.b.c", "GraphRAG", "name"]
+    assert one(spark, T.unquoted(F.col("t")), t="a 'b c' 《d》 \"e\"") == "a     \"e\""
+    assert one(spark, T.completeness_hints(F.col("t")), t="Not more than the final step") == "negation,comparison,order"
+    assert one(spark, T.words(F.col("t")), t="Straße 12a, 资料 x_y") == ["straße", "12a", "资", "料", "x", "y"]
+
+
+def test_occurrences_stand_free_and_may_overlap(spark):
+    at = lambda t, s: one(spark, T.occurrences(F.col("t"), F.col("s")), t=t, s=s)
+    assert at("RAG and GraphRAG, RAG_x, RAG", "RAG") == [1, 26]
+    assert at("a a a", "a a") == [1, 3] and at("", "a") == [] and at("a", "") == []
+    assert one(spark, F.coalesce(F.size(T.occurrences(F.col("t"), F.col("s"))), F.lit(-7)), t=None, s="a") in (-1, -7)
 
 
 def test_citation_check(spark):
@@ -220,11 +233,53 @@ def test_line_segments(spark):
     assert got == [("heading", 1, 1), ("blank", 2, 1), ("text", 3, 2), ("code", 5, 3), ("table", 8, 1), ("image", 9, 1), ("blank", 1, 1)]
 
 
-def test_containment_by_the_rarest_line(spark):
-    a, b, c = (ch * 25 for ch in "abc")
-    rows = [(1, f"{a}\n{b}"), (2, a), (3, f"{a}\r\n{b}\n{c}\nshort"), (4, b), (5, f"{a}\n{b}"), (6, None), (7, "short"), (8, c)]
-    got = {(r.inner, r.outer) for r in context.contained(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 3), (2, 1), (2, 3), (4, 1), (4, 3), (8, 3)}
+def test_texts_inside_other_texts(spark):
+    rng = random.Random(3)
+    long = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 9)) for _ in range(60)) for _ in range(6)]
+    texts = long + [t[a : a + 120] for t in long for a in (0, 37, 101)] + [long[0] + "。" + long[1], long[0], "", None, "alpha1", "资料检索系统的引用规则" * 2, "前言：资料检索系统的引用规则资料检索系统的引用规则。", "X " + long[2].upper() + " Y", long[2].upper()]
+    rows = [*enumerate(texts), (3, texts[3])]
+    first = {}
+    for k, t in rows:
+        if t is not None:
+            first[t] = min(k, first.get(t, k))
+    words = lambda t: len(re.findall(r"[一-鿿]|[^\W_一-鿿]+", t))
+    want = {(first[a], first[b]) for a in first for b in first if a != b and words(a) >= 7 and a in b}
+    got = {(r.inner, r.outer) for r in context.contained(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_hot_spans_and_repeats_equal_the_plain_fold(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        a = rng.randint(0, 400)
+        rows.append((rng.choice("aab"), a, a + rng.randint(0, 12), k))
+    rows += [(i, a, b, t + 300) for i, a, b, t in rows[:80]]
+    want = []
+    for i in "ab":
+        kept = []
+        for _, a, b, t in sorted((r for r in rows if r[0] == i), key=lambda r: r[3]):
+            if not any(x < b and a < y for x, y in kept):
+                kept.append((a, b))
+                want.append((i, a, b, t))
+    got = [tuple(r) for r in sequences.greedy_spans(spark.createDataFrame(rows, "id string, start int, stop int, tie long"), width=16).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_streams_over_several_batches_forget_and_stay_complete(spark, tmp_path):
+    import datetime as dt
+
+    from chunkloom.streaming import queue
+
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    files = [[(1, "a", "open", day(0), day(0)), (2, "b", "open", day(1), day(1))], [(1, "a", "open", day(0), day(2)), (3, "c", "open", day(0), day(30))], [(4, "d", "open", day(1), day(31)), (3, "c", "open", day(0), day(31)), (None, "x", "open", None, day(31))]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "job_id long, query string, status string, created_at timestamp, received_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "jobs.parquet"))
+    path = str(tmp_path / "jobs.parquet")
+    once = queue.drained(queue.submitted_once(queue.arriving(spark, path, files_each=1)).select("job_id", "query"), spark)
+    assert sorted(tuple(r) for r in once.collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    hours = queue.drained(queue.hourly_load(queue.arriving(spark, path, files_each=1)), spark, keys=["hour", "status"])
+    assert sorted(r.jobs for r in hours.collect()) == [2, 4] and hours.columns == ["hour", "status", "jobs"]
 
 
 def test_phrases_are_counted_without_overlap(spark):
@@ -239,8 +294,9 @@ def test_small_builders(spark):
     assert tuple(one(spark, T.span_of(F.col("t")), t="s12_40")) == (12, 40) and tuple(one(spark, T.span_of(F.col("t")), t="x")) == (None, None)
     assert one(spark, T.source_block(F.col("t")), t="A\nSOURCE:\nb\nSOURCE:\nc") == "b\nSOURCE:\nc"
     assert one(spark, T.masked(F.col("t"), 20), t='Traceback (most recent)\n  File "x", line 1\nkey ' + "k" * 40 + " ended here now") == "key *** ended here n"
-    assert one(spark, T.shown(F.col("t")), t="See ![a](b.png) it [S1, S2] .") == "See it."
-    assert one(spark, T.escaped(F.col("t")), t="a*b") == "a\\*b"
+    assert one(spark, T.shown(F.col("t")), t="See ![a](b.png)it [S1] .") == "See it."
+    assert one(spark, T.shown(F.col("t")), t="[S1] [S2]的原图 ，x [S1, S2]") == "对应证据的原图，x [S1, S2]"
+    assert one(spark, T.escaped(F.col("t")), t="a*b\n (c) ") == "a\\*b (c)"
     assert one(spark, T.safe_url(F.col("t")), t="javascript:x") is None
     assert one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is (k) 10", w="k") and not one(spark, T.bounded(F.col("t"), F.col("w")), t="top_k is 10", w="k")
 
