@@ -170,6 +170,35 @@ def completeness_hints(text: Column) -> Column:
     return F.concat_ws(",", flag("negation", NEGATION), flag("comparison", COMPARISON), flag("order", ORDER))
 
 
+# Chinese digits, and the wordings of a rank.
+CN_DIGITS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10}
+ORDINAL = r"第\s*([0-9]+|[一二两三四五六七八九十]+)"
+EN_RANK = r"(?i)(first|second|third|top)\s+(?:place|position|rank|spot)"
+FIRST_RANK = "排在最前|放在最前|最前面|排在首位|首位|榜首"
+
+
+def cn_number(text: Column) -> Column:
+    """Value of decimal digits or of a Chinese numeral below 100; null for others."""
+    digits = F.create_map(*[F.lit(x) for kv in CN_DIGITS.items() for x in kv])
+    at = lambda k: F.coalesce(digits[F.substring(text, k, 1)], F.lit(0))
+    n, ten = F.length(text), F.substring(text, 2, 1) == "十"
+    return (
+        F.when(text.rlike("^[0-9]+$"), text.cast("int"))
+        .when(n == 1, digits[text])
+        .when((n == 2) & text.startswith("十"), 10 + at(2))
+        .when((n == 2) & ten, at(1) * 10)
+        .when((n == 3) & ten, at(1) * 10 + at(3))
+    )
+
+
+def ordinals(text: Column) -> Column:
+    """Ranks and ordinal numbers a text names: numbered ones in order, then English ones, then a 1 for each wording of the first place."""
+    numbered = F.transform(F.regexp_extract_all(text, F.lit(ORDINAL), F.lit(1)), cn_number)
+    english = F.transform(F.regexp_extract_all(text, F.lit(EN_RANK), F.lit(1)), lambda w: F.when(F.lower(w) == "second", 2).when(F.lower(w) == "third", 3).otherwise(1))
+    first = F.transform(F.regexp_extract_all(text, F.lit(FIRST_RANK), F.lit(0)), lambda _: F.lit(1))
+    return F.filter(F.concat(numbered, english, first), lambda x: x.isNotNull())
+
+
 def occurrences(text: Column, span: Column) -> Column:
     """Where a span stands in a text, from 1, with no letter, digit or underscore of ASCII beside it; occurrences may overlap. Nulls give null, an empty span none."""
     there = lambda p: F.substr(text, p, F.length(span)) == span

@@ -191,12 +191,12 @@ def md_segments(spark, sf_dir):
     return sequences.line_segments(_documents(spark, sf_dir))
 
 
+# What a paragraph is, the first that fits.
 _KINDS = [
-    ("code", "^```|^[0-9]+[.] .*(\n[0-9]+[.] .*)*$"),
-    ("heading", "^(#.*)(\n#.*)*$"),
-    ("caption", "^(Fig(ure)?[.]? [0-9]+|TABLE [IVX0-9]+|Table [0-9]+|图[0-9]+|表[0-9]+)[.:：]"),
-    ("table", "^[|].*"),
-    ("capitals", "^[A-Z][A-Z0-9 ,.'-]{7,79}$"),
+    ("code", "^```|\n```|^<Steps|^<Step |^</|^\\s*[0-9]+[.]\\s.*(\n\\s*[0-9]+[.]\\s.*)*$"),
+    ("heading", "^#"),
+    ("caption", "(?i)^((Fig[.]|Figure)\\s*[0-9]+\\s*[:.]|TABLE\\s+[IVXLCDM]+\\b|(Table|Tab[.])\\s*[0-9]+\\s*[:.])"),
+    ("table", "^[|]"),
     ("fragment", "^[a-z]"),
 ]
 
@@ -211,11 +211,19 @@ def para_kinds(spark, sf_dir):
     return parts.groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).alias("chars"))
 
 
-@query("""SELECT question_id, array_to_string(list_transform(regexp_extract_all(original_query, '第 ?[0-9]+'), lambda m: regexp_extract(m, '[0-9]+')), ',') AS ordinals FROM questions WHERE regexp_matches(original_query, '第 ?[0-9]+')""")
+_CN_SQL = "strpos('一二三四五六七八九', {0})"
+_ORDINALS_SQL = rf"""SELECT key, array_to_string(list_filter(list_concat(list_concat(list_transform(regexp_extract_all(t, '第\s*([0-9]+|[一二两三四五六七八九十]+)', 1), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x::INT WHEN length(x) = 1 THEN CASE x WHEN '十' THEN 10 WHEN '两' THEN 2 ELSE {_CN_SQL.format('x')} END
+WHEN length(x) = 2 AND x[1] = '十' THEN 10 + CASE x[2] WHEN '十' THEN 10 WHEN '两' THEN 2 ELSE {_CN_SQL.format('x[2]')} END WHEN length(x) = 2 AND x[2] = '十' THEN 10 * CASE x[1] WHEN '两' THEN 2 ELSE {_CN_SQL.format('x[1]')} END WHEN length(x) = 3 AND x[2] = '十' THEN 10 * CASE x[1] WHEN '十' THEN 10 WHEN '两' THEN 2 ELSE {_CN_SQL.format('x[1]')} END + CASE x[3] WHEN '十' THEN 10 WHEN '两' THEN 2 ELSE {_CN_SQL.format('x[3]')} END END),
+list_transform(regexp_extract_all(t, '(?i)(first|second|third|top)\s+(?:place|position|rank|spot)', 1), lambda x: CASE lower(x) WHEN 'second' THEN 2 WHEN 'third' THEN 3 ELSE 1 END)), list_transform(regexp_extract_all(t, '排在最前|放在最前|最前面|排在首位|首位|榜首'), lambda x: 1)), lambda x: x IS NOT NULL), ',') AS ordinals FROM ({{0}})"""
+_SAID = "SELECT question_id AS key, original_query AS t FROM questions UNION ALL SELECT -1 - doc_id, text FROM documents"
+
+
+@query(f"SELECT * FROM ({_ORDINALS_SQL.replace('{0}', _SAID)}) WHERE ordinals <> ''")
 def ordinals(spark, sf_dir):
-    """Ordinal numbers named in questions."""
-    found = F.regexp_extract_all(F.col("original_query"), F.lit("第 ?([0-9]+)"), F.lit(1))
-    return table(spark, sf_dir, "questions").filter("original_query RLIKE '第 ?[0-9]+'").select("question_id", F.array_join(found, ",").alias("ordinals"))
+    """Ordinal numbers and ranks named in questions (key: question_id) and in documents (key: -1 - doc_id)."""
+    said = table(spark, sf_dir, "questions").select(F.col("question_id").alias("key"), F.col("original_query").alias("t"))
+    said = said.unionByName(_documents(spark, sf_dir).select((-1 - F.col("doc_id")).alias("key"), F.col("text").alias("t")))
+    return said.select("key", F.array_join(T.ordinals(F.col("t")), ",").alias("ordinals")).filter("ordinals <> ''")
 
 
 @query("""WITH t AS (SELECT question_id, list_distinct(list_filter([CASE WHEN regexp_matches(lower(original_query), 'figure|图|abbildung|schéma|figura') THEN 'figure' END, CASE WHEN regexp_matches(lower(original_query), 'table|表|tabelle|tableau|tabla') THEN 'table' END], lambda x: x IS NOT NULL)) AS types FROM questions WHERE original_query IS NOT NULL)

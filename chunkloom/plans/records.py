@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import context, lexical, sequences, vectors
-from ..sources.tables import content_manifest, json_lines, kept, shared_folder, table, write_json_lines, write_new
+from ..sources.tables import content_manifest, json_lines, kept, shared_folder, spread, table, write_json_lines, write_new
 from .queries import Registered
 
 TOKENS_SQL = r"regexp_extract_all(lower({0}), '[0-9]+(?:\.[0-9]+)+|[a-z]+|[0-9]+')"
@@ -28,6 +28,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "records")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records are found by; taking it apart is the work, so it is spread over all cores."""
+    return lexical.channels(spread(_records(spark, sf_dir).select("ord", "kind", "document_id", "text", "retrieval_text", "reference_only")))
+
+
 @query("""SELECT chunk_id, ord, document_title, lang FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC, ord DESC) AS n FROM records) WHERE n = 1""")
 def latest_records(spark, sf_dir):
     """The last delivery of each chunk."""
@@ -44,19 +49,19 @@ def document_order(spark, sf_dir):
 @query(f"""WITH ch AS ({CHANNEL_SQL}) SELECT channel, id, len(t) AS tokens FROM ch""")
 def tok_counts(spark, sf_dir):
     """Lexical tokens of each record."""
-    return lexical.channels(_records(spark, sf_dir)).select("channel", "id", F.size(T.tokens(F.col("body"))).alias("tokens"))
+    return _texts(spark, sf_dir).select("channel", "id", F.size(T.tokens(F.col("body"))).alias("tokens"))
 
 
 @query(f"""WITH ch AS ({CHANNEL_SQL}) SELECT channel, count(*) AS n, sum(len(t)) AS total_len, round(sum(len(t)) / count(*), 6) AS avgdl FROM ch GROUP BY channel""")
 def avgdl(spark, sf_dir):
     """Size of each channel and its average length."""
-    return lexical.collection(lexical.channels(_records(spark, sf_dir))).withColumn("avgdl", F.round(F.col("total_len") / F.col("n"), 6))
+    return lexical.collection(_texts(spark, sf_dir)).withColumn("avgdl", F.round(F.col("total_len") / F.col("n"), 6))
 
 
 @query(f"""WITH ch AS ({CHANNEL_SQL}) SELECT channel, term, count(DISTINCT id) AS df FROM (SELECT channel, id, unnest(t) AS term FROM ch) GROUP BY channel, term""")
 def df_by_channel(spark, sf_dir):
     """Document frequency of every term."""
-    return lexical.document_frequency(lexical.postings(lexical.channels(_records(spark, sf_dir))))
+    return lexical.document_frequency(lexical.postings(_texts(spark, sf_dir)))
 
 
 @query(f"""WITH ch AS ({CHANNEL_SQL}), d AS (SELECT channel, term, count(DISTINCT id) AS df FROM (SELECT channel, id, unnest(t) AS term FROM ch) GROUP BY 1, 2),
@@ -64,7 +69,7 @@ n AS (SELECT channel, count(*) AS n FROM ch GROUP BY 1)
 SELECT channel, term, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d JOIN n USING (channel) WHERE ln((n - df + 0.5) / (df + 0.5)) > 0""")
 def idf_positive(spark, sf_dir):
     """Terms that count in ranking."""
-    texts = lexical.channels(_records(spark, sf_dir))
+    texts = _texts(spark, sf_dir)
     df = lexical.document_frequency(lexical.postings(texts)).join(F.broadcast(lexical.collection(texts)), "channel")
     return df.select("channel", "term", lexical.idf(F.col("n"), F.col("df")).alias("idf")).filter("idf > 0").withColumn("idf", F.round("idf", 6))
 
@@ -73,7 +78,7 @@ def idf_positive(spark, sf_dir):
 SELECT channel, phrase, count(*) AS df FROM p GROUP BY 1, 2 HAVING count(*) > 1""")
 def ngram_df(spark, sf_dir):
     """Pairs of tokens that more than one record has."""
-    return lexical.phrases(lexical.channels(_records(spark, sf_dir)), 2).filter("df > 1")
+    return lexical.phrases(_texts(spark, sf_dir), 2).filter("df > 1")
 
 
 _SEARCH = "SELECT question_id AS query_id, original_query AS query FROM questions WHERE question_id % 100 = 0 AND original_query IS NOT NULL"
@@ -107,7 +112,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return lexical.bm25(_search_queries(spark, sf_dir), lexical.channels(_records(spark, sf_dir)), k=k)
+    return lexical.bm25(_search_queries(spark, sf_dir), _texts(spark, sf_dir), k=k)
 
 
 _VEC_SQL = f"""WITH v AS (SELECT u.ord, r.document_id, u.vector FROM ({USABLE_SQL.format('body_vectors')}) u JOIN (SELECT ord, document_id FROM records) r USING (ord)),
@@ -154,7 +159,7 @@ def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     rankable = records.filter("kind = 'text' AND NOT coalesce(reference_only, false)").select("ord", "document_id", "chunk_id")
     pool = vectors.usable(table(spark, sf_dir, "body_vectors")).join(rankable, "ord").withColumnRenamed("ord", "id")
     by_vector = vectors.top_in_scope(asked.drop("query"), pool.drop("chunk_id"), "document_id", k=20).filter("status = 'ok'").select("query_id", "id", "rank", "score")
-    texts = lexical.channels(records).filter("channel = 'body'")
+    texts = _texts(spark, sf_dir).filter("channel = 'body'")
     by_words = lexical.bm25(asked.select("query_id", "query", "document_id"), texts, k=None, scope="document_id").join(pool.select("id", "chunk_id"), "id")
     return asked, pool, by_vector, by_words.select("query_id", "id", "chunk_id", "score")
 
@@ -517,7 +522,7 @@ def ngram_tf(spark, sf_dir):
     """How often each two neighbouring words of a search stand together in a record, counted without overlap; records are found by an equi-join on pairs of words."""
     pairs = F.array_distinct(lexical.runs(T.tokens(F.col("query")), 2))
     wanted = _search_queries(spark, sf_dir).select("query_id", F.explode(pairs).alias("phrase"))
-    return lexical.phrase_frequency(lexical.channels(_records(spark, sf_dir)), wanted)
+    return lexical.phrase_frequency(_texts(spark, sf_dir), wanted)
 
 
 @query(r"""SELECT ord, regexp_extract(source_path, '([^/]+)\.[^./]*$', 1) AS stem, coalesce(regexp_matches(image_path, '^[^\s]+\.png$') AND NOT regexp_matches(image_path, '^https?://'), false) AS local_figure,

@@ -86,6 +86,11 @@ def test_tokens_and_labels(spark):
     assert one(spark, T.words(F.col("t")), t="Straße 12a, 资料 x_y") == ["straße", "12a", "资", "料", "x", "y"]
 
 
+def test_ordinals(spark):
+    got = one(spark, T.ordinals(F.col("t")), t="第 3 位、第十二名、第二十章、第三十五、第两、第一二三四 Top rank, SECOND place 榜首")
+    assert got == [3, 12, 20, 35, 2, 1, 2, 1]
+
+
 def test_occurrences_stand_free_and_may_overlap(spark):
     at = lambda t, s: one(spark, T.occurrences(F.col("t"), F.col("s")), t=t, s=s)
     assert at("RAG and GraphRAG, RAG_x, RAG", "RAG") == [1, 26]
