@@ -125,3 +125,16 @@ def packed_all(cases: DataFrame, items: DataFrame, budget: int) -> DataFrame:
     total = F.col("base") + F.coalesce("cost", F.lit(0))
     status = F.when(F.col("base") > budget, "envelope over budget").when(total > budget, "refused").otherwise("fits")
     return cases.join(sums, "case_id", "left").select("case_id", F.coalesce("items", F.lit(0)).alias("items"), total.alias("cost"), status.alias("status"))
+
+
+def overlaid(base: DataFrame, layers: list[DataFrame], key: str) -> DataFrame:
+    """The base's rows with the columns of each layer laid over them in turn: a layer's value holds where it is not null.
+
+    Layers: the key (once each) and columns of the base.  Rows of a layer that
+    the base lacks are left out.
+    """
+    for layer in layers:
+        columns = [c for c in layer.columns if c != key]
+        over = layer.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+        base = base.join(over, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns])
+    return base

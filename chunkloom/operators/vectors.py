@@ -34,6 +34,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
 
 
+def unit(v: Column) -> Column:
+    """A vector scaled to unit length, in double precision; null for null and all-zero vectors."""
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+
+
 def top_in_scope(queries: DataFrame, candidates: DataFrame, scope: str, *, k: int, block: int = 4096) -> DataFrame:
     """(query_id, status, candidates, rank, id, score): the k most similar candidates of the query's scope.
 

@@ -282,3 +282,20 @@ SELECT doc_id, seq, printf('%d::text::%04d', doc_id, seq) AS chunk_id, length(bo
 def chunk_documents(spark, sf_dir):
     """Every text as ordered chunks: heading groups, thin ones merged, references left out."""
     return sequences.chunked(_documents(spark, sf_dir)).select("doc_id", "seq", "chunk_id", F.length("body").alias("chars"), T.sha256(F.col("body")).alias("digest"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s<>()\[\]"]+') AS urls, regexp_extract_all(text, '!\[[^\]]*\]\(\s*<?([^)\s>]+)', 1) AS images FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(urls) AS links, len(list_distinct(urls)) AS targets, len(images) AS images FROM l WHERE len(urls) + len(images) > 0""")
+def text_links(spark, sf_dir):
+    """Addresses and pictures that each text links to."""
+    urls = F.regexp_extract_all(F.col("text"), F.lit(r'https?://[^\s<>()\[\]"]+'), F.lit(0))
+    images = F.regexp_extract_all(F.col("text"), F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), F.lit(1))
+    rows = _documents(spark, sf_dir).filter("text IS NOT NULL")
+    return rows.select("doc_id", F.size(urls).alias("links"), F.size(F.array_distinct(urls)).alias("targets"), F.size(images).alias("images")).filter("links + images > 0")
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(m) AS chars, sha256(m) AS digest FROM (SELECT doc_id, substr(regexp_replace(array_to_string(list_filter(s, lambda x: NOT regexp_matches(x, '^[ \t\r\f]*(Traceback|File "|at )')), chr(10)), '[A-Za-z0-9_-]{32,}', '***', 'g'), 1, 500) AS m FROM l)""")
+def masked_texts(spark, sf_dir):
+    """Texts as messages fit to be shown: without lines of a stack, long keys masked, the first 500 characters (the length of a message is the feature)."""
+    m = T.masked(F.col("text"))
+    return _documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", F.length(m).alias("chars"), T.sha256(m).alias("digest"))

@@ -635,3 +635,47 @@ def table_round_trip(spark, sf_dir):
     said = spark.read.schema("document_id string, rows long, bytes long, digest long").json(f"{path}.manifest").select(columns)
     differ = content_manifest(back, "document_id", "text").select(columns).exceptAll(said).agg(F.count("*").alias("n"))
     return back.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).crossJoin(differ).select("rows", "chars", (F.col("n") == 0).alias("manifest_agrees"))
+
+
+@query("""WITH b AS (SELECT chunk_id, min(ord) AS ord, arg_min(document_title, ord) FILTER (document_title IS NOT NULL) AS t0, arg_min(lang, ord) FILTER (lang IS NOT NULL) AS l0, arg_min(document_id, ord) FILTER (document_id IS NOT NULL) AS document_id FROM records GROUP BY 1),
+l AS (SELECT chunk_id, arg_max(document_title, (loaded_at, ord)) FILTER (document_title IS NOT NULL) AS t1, arg_max(lang, (loaded_at, ord)) FILTER (lang IS NOT NULL) AS l1 FROM records GROUP BY 1), c AS (SELECT document_id, min(document_title) AS t2 FROM doc_catalog GROUP BY 1)
+SELECT chunk_id, ord, document_id, coalesce(t2, t1, t0) AS document_title, coalesce(l1, l0) AS lang FROM b JOIN l USING (chunk_id) LEFT JOIN c USING (document_id)""")
+def overlay_layers(spark, sf_dir):
+    """Each chunk as first delivered, under what its last deliveries say, under the catalog's titles."""
+    rows = _records(spark, sf_dir).select("chunk_id", "ord", "document_id", "document_title", "lang", "loaded_at")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("loaded_at", "ord"))).alias(c)
+    base = rows.groupBy("chunk_id").agg(F.min("ord").alias("ord"), first("document_id"), first("document_title"), first("lang"))
+    later = rows.groupBy("chunk_id").agg(last("document_title"), last("lang"))
+    titles = table(spark, sf_dir, "doc_catalog").groupBy("document_id").agg(F.min("document_title").alias("document_title"))
+    return context.overlaid(context.overlaid(base, [later], "chunk_id"), [titles], "document_id")
+
+
+_HELD_SQL = f"SELECT sha256({BODY_SQL}) AS h, u.ord, r.kind FROM ({USABLE_SQL.format('body_vectors')} UNION ALL {USABLE_SQL.format('description_vectors')}) u JOIN records r USING (ord)"
+
+
+@query(f"""WITH v AS (SELECT h, kind, min(ord) AS at FROM ({_HELD_SQL}) GROUP BY 1, 2), r AS (SELECT ord, kind, sha256({BODY_SQL}) AS h FROM records)
+SELECT r.ord, v.at AS vector_of FROM r JOIN v USING (h, kind) WHERE r.ord <> v.at""")
+def vector_lookup(spark, sf_dir):
+    """Records that can take the vector of another record of their kind with the same text, by the hash of the text."""
+    body = T.sha256(T.retrievable(F.col("kind"), F.col("text"), F.col("retrieval_text")))
+    rows = _records(spark, sf_dir).select("ord", "kind", body.alias("h"))
+    both = vectors.usable(table(spark, sf_dir, "body_vectors")).select("ord").unionByName(vectors.usable(table(spark, sf_dir, "description_vectors")).select("ord"))
+    held = both.join(rows, "ord").groupBy("h", "kind").agg(F.min("ord").alias("vector_of"))
+    return rows.join(held, ["h", "kind"]).filter("ord <> vector_of").select("ord", "vector_of")
+
+
+@query(f"""SELECT ord, round(sqrt(list_dot_product(v, v)), 4) AS norm, round(sqrt(list_dot_product(w, w)), 4) AS unit_norm, round(w[1], 4) AS first FROM (SELECT ord, v, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM (SELECT ord, vector::DOUBLE[] AS v FROM ({USABLE_SQL.format('body_vectors')})))""")
+def vec_unit(spark, sf_dir):
+    """Body vectors scaled to unit length."""
+    v = vectors.usable(table(spark, sf_dir, "body_vectors")).select("ord", F.col("vector").alias("v"), vectors.unit(F.col("vector")).alias("w"))
+    norm = lambda c: F.round(F.sqrt(vectors.dot(F.col(c), F.col(c))), 4)
+    return v.select("ord", norm("v").alias("norm"), norm("w").alias("unit_norm"), F.round(F.get("w", F.lit(0)), 4).alias("first"))
+
+
+@query(r"""SELECT ord, printf('s%d_%d', e16_span.char_start, e16_span.char_end) AS span, e16_span.char_start AS start, e16_span.char_end AS stop, e16_span.char_end - e16_span.char_start AS chars FROM records WHERE e16_span.char_start IS NOT NULL AND e16_span.char_end IS NOT NULL""")
+def span_ids(spark, sf_dir):
+    """Ids of spans, and the spans read from the ids again."""
+    named = _records(spark, sf_dir).filter("e16_span.char_start IS NOT NULL AND e16_span.char_end IS NOT NULL").select("ord", T.span_id(F.col("e16_span.char_start"), F.col("e16_span.char_end")).alias("span"))
+    read = named.withColumn("s", T.span_of(F.col("span")))
+    return read.select("ord", "span", "s.start", "s.stop", (F.col("s.stop") - F.col("s.start")).alias("chars"))

@@ -363,3 +363,31 @@ def test_names_of_which_a_text_has_every_word(spark):
     names = spark.createDataFrame([("a", "Foo guide"), ("b", "Bar Guide"), ("c", "guide"), ("c", "guide"), ("d", None), ("e", "资料"), ("f", "Foo notes")], "owner string, name string")
     got = sorted((r.id, r.owner) for r in resolve.named_whole(texts, names).collect())
     assert got == [(1, "a"), (1, "c"), (2, "c"), (4, "b"), (4, "c")]
+
+
+def test_layers_hold_where_they_are_not_null(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, "z")], "id long, t string, l string")
+    one_ = spark.createDataFrame([(1, None, "y"), (2, "c", None), (9, "q", "q")], "id long, t string, l string")
+    two = spark.createDataFrame([(2, "d"), (3, "e")], "id long, t string")
+    assert sorted(tuple(r) for r in context.overlaid(base, [one_, two], "id").collect()) == [(1, "a", "y"), (2, "d", None), (3, "e", "z")]
+
+
+def test_merge_by_key_then_by_identity(spark):
+    rows = spark.createDataFrame([("a", 1, "i"), ("a", 2, "j"), ("b", 3, "i"), ("c", 4, "k"), ("d", 5, "l"), ("d", 6, "l")], "key string, o long, same string")
+    got = sorted(tuple(r) for r in context.merged(rows, "key", "o", "same").collect())
+    assert got == [(1, 2, 3, "a,b"), (5, 1, 2, "d")]
+
+
+def test_all_or_nothing_and_pairs_of_a_case(spark):
+    cases = spark.createDataFrame([(1, 10), (2, 10), (3, 10), (4, 99)], "case_id long, base long")
+    items = spark.createDataFrame([(1, 40), (1, 50), (2, 91), (4, 1)], "case_id long, cost long")
+    assert {r.case_id: (r["items"], r.cost, r.status) for r in context.packed_all(cases, items, 98).collect()} == {1: (2, 100, "refused"), 2: (1, 101, "refused"), 3: (0, 10, "fits"), 4: (1, 100, "envelope over budget")}
+    line = "a line of twenty characters"
+    texts = [(1, 1, 10, f"{line}\nx"), (1, 2, 11, f"{line}\nx"), (1, 3, 12, f"y\n{line}\nx"), (1, 4, 13, f"z\r\n{line}"), (1, 5, 14, ""), (2, 1, 15, line)]
+    got = {(r["first"], r.second): (r.exact, r.contained, r.shared_lines) for r in context.pair_overlaps(spark.createDataFrame(texts, "case_id long, rank int, id long, text string")).filter("second <> 14").collect()}
+    assert got == {(10, 11): (True, False, 0), (10, 12): (False, True, 1), (11, 12): (False, True, 1), (10, 13): (False, False, 1), (11, 13): (False, False, 1), (12, 13): (False, False, 1)}
+
+
+def test_unit_vectors(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>")
+    assert {r.id: r.u for r in rows.select("id", vectors.unit(F.col("v")).alias("u")).collect()} == {1: [0.6, 0.8], 2: None, 3: None}
