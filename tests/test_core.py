@@ -186,6 +186,21 @@ def test_bm25_of_runs_and_scopes_equals_the_formula(spark):
     assert {(r.query_id, r.id): r.score for r in got} == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} and len(want) > 10
 
 
+def test_bm25_topk_in_small_batches_equals_all_scores_and_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    bodies = [(("body", "visual")[k % 2], k, f"d{k % 3}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))).title()) for k in range(90)]
+    texts = spark.createDataFrame([*bodies, ("body", 90, "d", "a b a b a b a b"), ("body", 91, "d", "")], "channel string, id long, document_id string, body string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b c d a b"), (2, "h g"), (3, ""), (4, "q"), (5, None), (6, "h g"), (7, "b a b A b")], "query_id long, query string")
+    want = sorted((r.query_id, r.channel, r.id, f"{r.score:.5f}", r["rank"]) for r in lexical.bm25(asked, texts, k=None).collect() if r["rank"] <= 4)
+    monkeypatch.setattr(lexical, "PACKED_TEXTS", 7)
+    monkeypatch.setattr(lexical, "SCORED_TEXTS", 20)
+    monkeypatch.setattr(lexical, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(lexical, "found_terms", None)
+    got = lexical.bm25(asked, texts, k=4).collect()
+    assert sorted((r.query_id, r.channel, r.id, f"{r.score:.5f}", r["rank"]) for r in got) == want and len(want) == 4 * 2 * 4
+    assert lexical.bm25(asked.filter("query_id = 5"), texts, k=4).count() == lexical.bm25(asked, texts.limit(0), k=4).count() == 0
+
+
 def test_scoped_search_in_blocks_equals_the_plain_one(spark):
     rng = random.Random(7)
     q = spark.createDataFrame([(k, rng.choice(["a", "a", "b", "c", None]), [rng.gauss(0, 1) for _ in range(4)]) for k in range(12)], "query_id long, s string, vector array<float>")
