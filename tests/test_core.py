@@ -201,6 +201,18 @@ def test_bm25_topk_in_small_batches_equals_all_scores_and_makes_no_pairs(spark,
     assert lexical.bm25(asked.filter("query_id = 5"), texts, k=4).count() == lexical.bm25(asked, texts.limit(0), k=4).count() == 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["pack_all"])
+def test_few_results_meet_the_records_without_shuffling_them(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("BroadcastHashJoin" in line for line in joins) >= 1 and not any("SortMergeJoin" in line and ("[id#" in line or "[chunk_id#" in line) and name != "rerank_order" for line in joins)
+
+
 def test_scoped_search_in_blocks_equals_the_plain_one(spark):
     rng = random.Random(7)
     q = spark.createDataFrame([(k, rng.choice(["a", "a", "b", "c", None]), [rng.gauss(0, 1) for _ in range(4)]) for k in range(12)], "query_id long, s string, vector array<float>")
