@@ -202,7 +202,7 @@ def test_bm25_topk_in_small_batches_equals_all_scores_and_makes_no_pairs(spark,
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["pack_all", "rerank_input", "pack_greedy", "rerank_order"])
+@pytest.mark.parametrize("name", ["pack_all", "rerank_input", "pack_greedy", "rerank_order", "pack_top_n"])
 def test_few_results_meet_the_records_without_shuffling_them(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
