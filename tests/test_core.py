@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,26 @@ def test_bm25_topk_in_small_batches_equals_all_scores_and_makes_no_pairs(spark,
     assert lexical.bm25(asked.filter("query_id = 5"), texts, k=4).count() == lexical.bm25(asked, texts.limit(0), k=4).count() == 0
 
 
+def test_tokens_in_bytes_are_those_of_the_pattern():
+    rng = random.Random(8)
+    number = lexical._numbering()
+    for _ in range(200):
+        bodies = ["".join(rng.choice(["a", "b", "eightlet", "eightletters", "eightletx", "1", "22", ".", " ", "é", "中", "\0", "_", "\n"]) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 9))]
+        tokens = [re.findall(T.TOKEN, b) for b in bodies]
+        some = sorted({t for own in tokens for t in own if rng.random() < 0.4} | {"eightletters"})
+        words = {w: n for n, w in enumerate(rng.sample(some, len(some)))}
+        at, lens = number(pa.array(["a 1. "] + [f"{b} " for b in bodies]).slice(1), *lexical._lookup(words))
+        assert lens.tolist() == [len(own) for own in tokens] and at.tolist() == [words.get(t, -1) for own in tokens for t in own]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_pack_top_n_takes_apart_only_the_channel_and_keeps_only_the_ranks_it_gives(spark, monkeypatch):
+    seen, top = [], lexical._top
+    monkeypatch.setattr(lexical, "_top", lambda queries, texts, k, longest: seen.append((texts, k)) or top(queries, texts, k, longest))
+    registry.QUERIES["pack_top_n"](spark, str(DATA))
+    assert [({r.channel for r in texts.select("channel").distinct().collect()}, k) for texts, k in seen] == [({"body"}, 5)]
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", ["pack_all", "rerank_input", "pack_greedy", "rerank_order", "pack_top_n"])
 def test_few_results_meet_the_records_without_shuffling_them(spark, name):
